@@ -80,9 +80,13 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
-def size_hint(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes of ``df``: from file sizes, without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def size_hint(df: DataFrame, text: str = "text") -> int:
+    """About the bytes of ``df``: from file sizes where its plan reads one table, else by a scan of its texts."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    known = int(str(plan.stats().sizeInBytes()))
+    if plan.collectLeaves().size() == 1 and known < 1 << 60:
+        return known
+    return int(df.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16)).first()[0] or 0) // 2
 
 
 def row_count(df: DataFrame) -> int:

@@ -26,6 +26,8 @@ from faultline.llm.langid import held_out
 
 FEATURES = ("length", "letters", "upper", "marks", "symbols", "digits", "word_length", "distinct", "repeats", "stops", "title", "lines")
 THRESHOLD = 0.3
+#: Words that are added to a text's number of words, so that shares in short texts vary less.
+SMOOTH = 10
 _CLASS = np.zeros(256, np.int64)
 _CLASS[[*range(97, 123), *range(0xC0, 0x100)]] = 1
 _CLASS[65:91] = 2
@@ -57,10 +59,10 @@ def statistics(text: str | None) -> list[float]:
         float(root(by[5] / n)),
         float(root(by[3] / n)),
         float(np.log(n / w)),
-        float(np.log((distinct + 1) / (w + 1))),
-        float(root(repeats / w)),
+        float(np.log((distinct + SMOOTH) / (w + SMOOTH))),
+        float(root(repeats / (w + SMOOTH))),
         float(root(text.count(".") / w)) if text else 0.0,
-        float(root(title / w)),
+        float(root(title / (w + SMOOTH))),
         float(root(by[6] / w)),
     ]
 

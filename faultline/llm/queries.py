@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import avi, bpe, langid, lines, packing, pii, quality
+from faultline.llm import avi, bpe, langid, lines, packing, pii, quality, suffixes
 from faultline.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -51,9 +51,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_langid, op3_packing, op4_line_dedup, op7_media, op8_quality, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_langid, op3_packing, op4_line_dedup, op7_media, op8_quality, op9_suffix_dedup, op10_pii)}
 ORACLES = {"op4_line_dedup": OP4_SQL}
