@@ -3,7 +3,7 @@
 Each text becomes a vector of transformed statistics (``FEATURES``). A class has its mean and a covariance that is
 shrunk towards the pooled one and towards a multiple of the identity; the score is the logistic function of the
 difference of the two log densities, from Mahalanobis distances with the cached inverses of the Cholesky factors, plus
-the log prior odds.
+the log prior odds, both scaled by a slope and an offset that are fitted to the same labels.
 
 The model is fitted on a bounded sample of at most about ``train_docs`` labelled documents, chosen by a hash of doc_id.
 
@@ -26,6 +26,8 @@ from faultline.llm.langid import held_out
 
 FEATURES = ("length", "letters", "upper", "marks", "symbols", "digits", "word_length", "distinct", "repeats", "stops", "title", "lines")
 THRESHOLD = 0.3
+#: Log density differences beyond count as this much.
+SPAN = 200.0
 #: Words that are added to a text's number of words, so that shares in short texts vary less.
 SMOOTH = 10
 _CLASS = np.zeros(256, np.int64)
@@ -87,13 +89,41 @@ class Discriminant:
             factor = np.linalg.cholesky(cov)
             self.classes.append((p.mean(axis=0), np.linalg.inv(factor), float(np.log(np.diag(factor)).sum())))
 
+        self._calibrate(self.difference(x), y)
+
+    def difference(self, x: np.ndarray) -> np.ndarray:
+        """The log density of label 1 less that of label 0, within SPAN."""
+        z = (x - self.centre) / self.scale
+        density = [-0.5 * (((z - mean) @ inverse.T) ** 2).sum(axis=1) - log for mean, inverse, log in self.classes]
+        return np.clip(density[1] - density[0], -SPAN, SPAN)
+
+    def _calibrate(self, d: np.ndarray, y: np.ndarray) -> None:
+        """Slope and offset of the log odds by Newton's method, with targets a little inside of 0 and 1."""
+        target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        design = np.stack([d, np.ones(len(d))], axis=1)
+        beta = np.array([0.1, np.log(self.prior / (1 - self.prior))])
+
+        def loss(b: np.ndarray) -> float:
+            odds = design @ b
+            return float((np.logaddexp(0, odds) - target * odds).sum())
+
+        now = loss(beta)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
+            step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), design.T @ (p - target))
+            size = 1.0
+            while size > 1e-6 and loss(beta - size * step) > now:
+                size /= 2
+            beta, before = beta - size * step, now
+            now = loss(beta)
+            if before - now < 1e-9 * max(1.0, now):
+                break
+        self.slope, self.offset = max(float(beta[0]), 1e-6), float(beta[1])
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.classes is None:
             return np.full(len(x), self.prior)
-        z = (x - self.centre) / self.scale
-        density = [-0.5 * (((z - mean) @ inverse.T) ** 2).sum(axis=1) - log for mean, inverse, log in self.classes]
-        odds = density[1] - density[0] + np.log(self.prior / (1 - self.prior))
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        return 1 / (1 + np.exp(-(self.slope * self.difference(x) + self.offset)))
 
 
 def fit(documents: DataFrame, labels: DataFrame, train_docs: int = 20_000) -> Discriminant:
