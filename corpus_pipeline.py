@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import lines, packing, pii, quality
+from faultline.llm import lines, minhash, packing, pii, quality
 from faultline.llm.common import table, unlink, written
 from faultline.llm.queries import TOKENIZERS
 
@@ -23,6 +23,11 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return lines.dedup_lines(docs, min_docs=10, least=1)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies."""
+    return minhash.dedup(docs, contain=0.7, ratio=0.7)
+
+
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data replaced by its kind."""
     return pii.redacted(docs)
@@ -36,6 +41,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES: list[tuple[str, Stage]] = [
     ("quality", keep_quality),
     ("line_dedup", drop_shared_lines),
+    ("near_dedup", drop_near_duplicates),
     ("pii", redact_personal),
     ("packing", pack_sequences),
 ]
