@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import avi, bpe, langid, lines, minhash, packing, pii, quality, suffixes
+from faultline.llm import avi, bpe, langid, lines, minhash, neardup, packing, pii, quality, suffixes
 from faultline.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -42,6 +42,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.links(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"), contain=0.7, ratio=0.7)
 
@@ -63,5 +67,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_langid, op3_packing, op4_line_dedup, op6_minhash_dedup, op7_media, op8_quality, op9_suffix_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_langid, op3_packing, op4_line_dedup, op5_embedding_dedup, op6_minhash_dedup, op7_media, op8_quality, op9_suffix_dedup, op10_pii)}
 ORACLES = {"op4_line_dedup": OP4_SQL}
