@@ -80,9 +80,24 @@ def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np
     return low
 
 
+def words(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place, as numbers that sort like them."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)[at]).view(">u8").ravel().astype(np.uint64)
+
+
 def suffix_sort(raw: np.ndarray, prefix: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes at ``starts``, by their first ``depth`` bytes (all have so many); ties in the order
-    given. Bottom-up mergesort: all merges of a level run together, each by binary search for the places."""
+    """The order of the suffixes at ``starts`` by their first ``depth`` bytes (all have so many, at least eight); ties
+    in the order given. Their first eight bytes are sorted as numbers, what they leave equal by merging."""
+    key = words(raw, starts)
+    order = np.argsort(key, kind="stable")
+    equal = key[order][1:] == key[order][:-1]
+    tied = np.flatnonzero(np.r_[False, equal] | np.r_[equal, False]) if len(order) > 1 else np.zeros(0, np.int64)
+    order[tied] = order[tied][_merge_sort(raw, prefix, starts[order[tied]], depth)]
+    return order
+
+
+def _merge_sort(raw: np.ndarray, prefix: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """Bottom-up mergesort: all merges of a level run together, each by binary search for the places."""
     n = len(starts)
     order, width = np.arange(n), 1
 
@@ -139,8 +154,8 @@ def equal_groups(raw: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
         ranks = np.empty(len(starts), np.int64)
         ranks[sorted_heads[suffix_sort(raw, prefix, starts[sorted_heads], depth)]] = np.arange(len(sorted_heads))
         differ = np.zeros(len(some), bool)
-        for i in range(depth):
-            differ |= raw[starts[some] + i] != raw[starts[head_of[some]] + i]
+        for i in [*range(0, depth - 8, 8), depth - 8]:
+            differ |= words(raw, starts[some] + i) != words(raw, starts[head_of[some]] + i)
         group[some] = ranks[head_of[some]]
         if differ.any():  # collisions: these few by their bytes
             odd: dict[bytes, int] = {}
@@ -204,7 +219,8 @@ class Chunk:
         low, high, anchor = starts[first] if len(first) else first, starts[last] if len(first) else first, at[first] if len(first) else first
         whole = substring_hash(prefix, low, high - low + length)
         c = mix64(whole + (anchor - low).astype(np.uint64) * U(0xA24BAED4963EE407) + (high - low).astype(np.uint64) * U(0x9FB21C651E98DF25))
-        return low + begin, high + begin, anchor + begin, grams[anchor], c
+        # least hashes are small numbers; mixed again, they are spread evenly
+        return low + begin, high + begin, anchor + begin, mix64(grams[anchor] + U(0x8EBC6AF09C88C6E3)), c
 
     def parts_of(self, parts: int) -> np.ndarray:
         """The partition of each distinct run, ascending."""
