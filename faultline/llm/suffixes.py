@@ -37,7 +37,7 @@ from faultline.llm.common import mix64, narrow, size_hint
 
 GRAM = 20
 #: Bytes of text of a chunk, bytes of a block of the arrays, and the file bytes behind a partition of anchors.
-CHUNK, BLOCK, PART = 3 << 20, 1 << 21, 12 << 20
+CHUNK, BLOCK, PART = 2 << 20, 1 << 20, 6 << 20
 LAST = np.iinfo(np.int64).max
 NONE, WHOLE, SHARED = 0, 1, 2
 U = np.uint64
