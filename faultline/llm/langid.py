@@ -49,7 +49,7 @@ class Model:
             counts.setdefault(n, {}).setdefault(gram, np.zeros(len(langs)))[at[lang]] += c
         self.logs: dict[int, dict[str, np.ndarray]] = {}
         for n, table in counts.items():
-            total = sum(table.values()) + 0.5 * len(table)
+            total = sum(table.values()) + 0.5 * (len(table) + 1)
             self.logs[n] = {g: np.log((c + 0.5) / total) for g, c in table.items()}
 
     def word(self, word: str) -> np.ndarray:

@@ -75,7 +75,7 @@ class Discriminant:
     def __init__(self, x: np.ndarray, y: np.ndarray, to_pooled: float = 0.1, to_identity: float = 0.01):
         self.prior = float(y.mean()) if len(y) else 0.5
         self.classes = None
-        if not 0 < self.prior < 1:
+        if len(set(y.tolist())) < 2:
             return
         self.centre, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         z = (x - self.centre) / self.scale
