@@ -94,9 +94,12 @@ def fit(df: DataFrame, train_docs: int = 6000, words: int = 20_000, grams: int =
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        seen: Counter = Counter()
+        words_of: dict[str, Counter] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for word, c in Counter(letters(text or "")).items():
+            words_of.setdefault(lang, Counter()).update(letters(text or ""))
+        seen: Counter = Counter()
+        for lang, found in words_of.items():
+            for word, c in found.items():
                 seen[0, word[:64], lang] += c
                 padded = f"^{word}$"
                 for n in range(1, GRAMS + 1):
