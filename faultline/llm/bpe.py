@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from faultline.llm.common import map_text, narrow
 
 #: Entries of a generation of the word memo in each Python worker, and the longest word that it holds.
-MEMO_WORDS, MEMO_LENGTH = 400_000, 48
+MEMO_WORDS, MEMO_LENGTH = 800_000, 48
 #: Texts above so many characters are matched piece by piece.
 LONG_TEXT, RUN_WORDS = 2_000_000, 100_000
 #: What the vocabularies' library knows of newer versions of Unicode than Python, or doesn't know yet: letters, numbers,
