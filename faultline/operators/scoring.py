@@ -42,6 +42,7 @@ def file_features(files: DataFrame, half_life: int, until: str) -> DataFrame:
         "bugfix": norm(F.col("bugfix_count"), "bugfix"),
         "complexity": norm(F.col("file_size"), "size"),
     }
+    files = files.persist()  # read twice, for the norms and for the scores; far smaller than the history
     both = files.crossJoin(F.broadcast(file_context(files)))
     return both.select(*files.columns, *[v.alias(f"f_{k}") for k, v in features.items()])
 
