@@ -47,7 +47,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.groups(table(spark, sf_dir, "documents"), contain=0.7, ratio=0.7)
+    return minhash.groups(table(spark, sf_dir, "documents"), contain=0.6, ratio=0.8)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
