@@ -1,4 +1,9 @@
-"""A corpus pipeline: quality, shared lines, near duplicates, personal data, packing."""
+"""A corpus pipeline: quality, shared lines, near duplicates, personal data, packing.
+
+Every stage but the last returns the columns of its input, whatever they are, and each one's result is what the next
+one reads. Null texts pass as they are (the classifier may reject them), and are packed as the end token alone; of
+repeated rows one stays; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
