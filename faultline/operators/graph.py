@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Up to so many rename edges are folded on the driver; beyond, components are found first and folded one by one.
 DRIVER_EDGES = 200_000
+_own_dir: list[str] = []
 
 
 def fold(edges: list[tuple[str, str]]) -> dict[str, str]:
@@ -41,11 +42,12 @@ def edges_of(history: DataFrame) -> DataFrame:
 def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
+    if not at:  # only where the cluster names no shared folder, as in tests
+        if not _own_dir:
+            import tempfile
 
-        at = tempfile.mkdtemp(prefix="faultline-")
-        spark.conf.set("spark.checkpoint.dir", at)
+            _own_dir.append(tempfile.mkdtemp(prefix="faultline-"))
+        at = f"file://{_own_dir[0]}"
     path = f"{at.rstrip('/')}/faultline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
