@@ -23,14 +23,18 @@ def narrow(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        import tempfile
+        if not _own_dir:
+            import tempfile
 
-        at = tempfile.mkdtemp(prefix="faultline-")
-        spark.conf.set("spark.checkpoint.dir", at)
+            _own_dir.append(tempfile.mkdtemp(prefix="faultline-"))
+        at = f"file://{_own_dir[0]}"
     return at.rstrip("/")
 
 
