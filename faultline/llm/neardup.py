@@ -46,18 +46,22 @@ def tuned(n: int, cosine: float) -> tuple[int, int]:
     return projections, math.ceil(math.log(MISS) / math.log(1 - near))
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The class of each vector, a digest of its numbers, and these; null for one that links with nothing."""
-    for b in batches:
-        nodes, vectors = [], []
-        for v in b.column(1).to_pylist():
-            ok = bool(v) and None not in v
-            if ok:
-                x = np.array(v, np.float64) + 0.0
-                ok = bool(np.isfinite(x).all() and x.any())
-            nodes.append(xxhash.xxh3_128_digest(x.tobytes()) if ok else None)
-            vectors.append(x.tobytes() if ok else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(vectors, pa.binary())], ["vec_id", "node", "vector"])
+def _nodes(kind: str):
+    """The class of each vector, a digest of its numbers, and these as ``kind``; null for one that links with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, vectors = [], []
+            for v in b.column(1).to_pylist():
+                ok = bool(v) and None not in v
+                if ok:
+                    x = np.array(v, np.float64) + 0.0
+                    ok = bool(np.isfinite(x).all() and x.any())
+                nodes.append(xxhash.xxh3_128_digest(x.tobytes()) if ok else None)
+                vectors.append(x.astype(kind).tobytes() if ok else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(vectors, pa.binary())], ["vec_id", "node", "vector"])
+
+    return run
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -65,20 +69,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _hashes(projections: int, tables: int):
+def _hashes(projections: int, tables: int, kind: str):
     made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(2).to_pylist()
-            sizes = np.array([len(v) // 8 for v in raw])
+            sizes = np.array([len(v) for v in raw]) // np.dtype(kind).itemsize
             keys = np.empty((len(raw), tables), np.uint64)
             for size in np.unique(sizes).tolist():
                 if size not in made:
                     rng = np.random.default_rng([SEED, size])
                     made[size] = rng.normal(size=(size, projections * tables)), rng.uniform(0, WIDTH, projections * tables)
                 at = np.flatnonzero(sizes == size)
-                x = _unit(np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(-1, size))
+                x = _unit(np.frombuffer(b"".join(raw[i] for i in at), kind).astype(np.float64).reshape(-1, size))
                 numbers = np.floor((x @ made[size][0] + made[size][1]) / WIDTH).astype(np.int64).reshape(len(at), tables, projections)
                 key = np.full((len(at), tables), size, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(tables, dtype=np.uint64)
                 for i in range(projections):
@@ -90,8 +94,8 @@ def _hashes(projections: int, tables: int):
     return run
 
 
-def _compare(cosine: float):
-    """From rows (key, at, i, j, block, node, n, vector, keys) that are sorted by the first four: (node, other, links)
+def _compare(cosine: float, kind: str):
+    """From rows (key, at, i, j, block, node, n, vector, keys of earlier tables) that are sorted by the first four: (node, other, links)
     with a node's number of links, or an edge to another node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +106,7 @@ def _compare(cosine: float):
             if len(held) < 2:
                 return
             blocks, weights = np.array([r[0] for r in held]), np.array([r[2] for r in held], np.int64)
-            vectors = [np.frombuffer(r[3], np.float64) for r in held]
+            vectors = [np.frombuffer(r[3], kind).astype(np.float64) for r in held]
             if len({len(v) for v in vectors}) > 1:  # a hash collision
                 return
             x = _unit(np.stack(vectors))
@@ -148,17 +152,18 @@ def _compare(cosine: float):
 
 def links(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
-    rows = narrow(df, id_col, vector_col).mapInArrow(_nodes, "vec_id long, node binary, vector binary")
+    kind = "<f4" if dict(df.dtypes)[vector_col] == "array<float>" else "<f8"  # floats are exact as they are
+    rows = narrow(df, id_col, vector_col).mapInArrow(_nodes(kind), "vec_id long, node binary, vector binary")
     classes = written(rows.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("vector").alias("vector")), "vectors")
     projections, tables = tuned(row_count(classes), cosine)
-    hashed = classes.select("node", "n", "vector").mapInArrow(_hashes(projections, tables), "node binary, n long, vector binary, keys array<long>")
+    hashed = classes.select("node", "n", "vector").mapInArrow(_hashes(projections, tables, kind), "node binary, n long, vector binary, keys array<long>")
     members = hashed.select("*", F.posexplode("keys").alias("at", "key"))
     sizes = hashed.select(F.posexplode("keys").alias("at", "key")).groupBy("key", "at").agg(F.count("*").alias("members")).filter("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = members.join(sizes, ["key", "at"]).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    pairs = placed.select("key", "at", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "vector", "keys")
+    pairs = placed.select("key", "at", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "vector", F.expr("slice(keys, 1, at)").alias("keys"))
     ordered = pairs.repartition("key", "at", "i", "j").sortWithinPartitions("key", "at", "i", "j", "node")
-    found = written(ordered.mapInArrow(_compare(cosine), "node binary, other binary, links long"), "links")
+    found = written(ordered.mapInArrow(_compare(cosine, kind), "node binary, other binary, links long"), "links")
     roots = components(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.select("node", "n", "least").join(counts, "node", "left").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
