@@ -148,6 +148,33 @@ def test_minhash_edges(spark):
     assert minhash.groups(edge(spark, [])).count() == 0 and minhash.dedup(edge(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 1])
+def test_minhash_holds_failed_members_against_the_whole_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    # two buckets. 1: A is linked with the centre C, B only with A. 2: local centre L fails the centre C2, its own member
+    # M is linked with C2; nothing is linked with N
+    near = {"C": range(0, 100), "A": range(30, 130), "B": range(65, 165), "C2": range(1000, 1100), "L": range(1060, 1160), "M": range(1030, 1130), "N": range(5000, 5100)}
+    name = {k: bytes([i]) * 16 for i, k in enumerate(["C", "A", "B", "C2", "L", "M", "N"])}
+    sets = spark.createDataFrame([(name[k], np.array(v, np.uint64).tobytes()) for k, v in near.items()], "class binary, set binary")
+    rows = [(1, "C", "A", True), (1, "C", "B", False), (2, "C2", "L", False), (2, "L", "M", True), (2, "C2", "N", False), (3, "C", "A", True)]
+    stars = spark.createDataFrame([(k, name[a], name[b]) for k, a, b, _ in rows], minhash.STARS)
+    checked = spark.createDataFrame(list({(name[a], name[b], ok) for _, a, b, ok in rows}), "centre binary, member binary, linked boolean")
+    failed = minhash._unsettled(stars, checked)
+    of = {v: k for k, v in name.items()}
+    assert {(r.key, of[bytes(r["class"])]): r.failed for r in failed.collect()} == {(1, "C"): False, (1, "A"): False, (1, "B"): True, (2, "C2"): False, (2, "L"): True, (2, "M"): True, (2, "N"): True}
+    edges = minhash._compare_blocks(failed, sets, 0.6, 0.8, True)
+    joined = Sets(7)
+    for _, a, b, ok in rows:
+        if ok:
+            joined.join(name[a][0], name[b][0])
+    for r in edges.collect():
+        joined.join(r.a[0], r.b[0])
+    parts = {}
+    for i, k in enumerate(name):
+        parts.setdefault(joined.root(i), set()).add(k)
+    assert sorted(map(sorted, parts.values())) == [["A", "B", "C"], ["C2", "L", "M"], ["N"]]
+
+
 def test_banding_meets_its_bound():
     for p in range(0, 40):
         rows, bands = minhash.banding(p, 0.6, 0.8)
