@@ -175,6 +175,27 @@ def test_minhash_holds_failed_members_against_the_whole_bucket(spark, monkeypatc
     assert sorted(map(sorted, parts.values())) == [["A", "B", "C"], ["C2", "L", "M"], ["N"]]
 
 
+def test_minhash_links_texts_that_grew(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in QUERIES["op6_minhash_dedup"](spark, sf).collect()}
+    for a, b in ((453, 658), (152, 892), (283, 369)):
+        assert got[a].group_id == got[b].group_id and not (got[a].kept and got[b].kept)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(t or "", i)
+    sets = {i: set(minhash.shingles(t).tolist()) for t, i in texts.items()}
+    whole = found = 0
+    links = dict.fromkeys(sets, 0)
+    for a, b in itertools.combinations(sets, 2):
+        low, high = sorted((len(sets[a]), len(sets[b])))
+        if low and low >= minhash.WIDE * high - 1e-9 and len(sets[a] & sets[b]) >= 0.6 * low - 1e-9:
+            links[a], links[b], whole = links[a] + 1, links[b] + 1, whole + 1
+            found += got[a].group_id == got[b].group_id
+    assert found >= 0.97 * whole
+    assert all(got[i].n_links + got[i].n_further <= n for i, n in links.items()) and sum(got[i].n_links + got[i].n_further for i in links) >= 0.97 * 2 * whole
+
+
 def test_banding_meets_its_bound():
     for p in range(0, 40):
         rows, bands = minhash.banding(p, 0.6, 0.8)
