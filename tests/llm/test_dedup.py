@@ -202,6 +202,20 @@ def test_banding_meets_its_bound():
         assert rows * bands <= minhash.VALUES and rows >= 1 and bands >= 1
 
 
+def test_banding_misses_at_most_three_percent():
+    assert minhash.MISS <= 0.03
+    random.seed(4)
+    for ratio in (0.4, 0.8):
+        for n in (150, 500, 1000, 1500):
+            m, missed = int(n / ratio), 0
+            both = -(-6 * n // 10)
+            for _ in range(60):
+                h = np.array([random.getrandbits(64) for _ in range(n + m - both)], np.uint64)
+                a, b = np.sort(h[:n]), np.sort(h[n - both :])
+                missed += not np.intersect1d(minhash.band_keys(a, 0.6, ratio), minhash.band_keys(b, 0.6, ratio)).size
+            assert missed <= 6, (ratio, n)
+
+
 def slow_repeats(rows, length=50):
     first = {}
     for i, t in rows:
