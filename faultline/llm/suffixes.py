@@ -2,7 +2,7 @@
 
 Prefix polynomial hashes give the hash of any substring in constant time; ``common_extension`` finds the common
 extension of many pairs of suffixes at once by binary search over them, and ``suffix_sort`` is a mergesort whose
-comparisons are such extensions. Equal neighbours are verified byte by byte.
+comparisons are such extensions. Equal windows are found by their hashes and verified byte by byte; the sort numbers them.
 
 Sorting all suffixes of a corpus would move every one of them, so ``repeats`` first reduces what has to be compared:
 
@@ -11,8 +11,8 @@ Sorting all suffixes of a corpus would move every one of them, so ``repeats`` fi
    the same place, wherever they are. A chunk sends, for each distinct run, two hashes (anchor, whole run) and its first
    document, to partitions by ranges of the anchor's hash; copies within a chunk are combined before.
 2. A run that an earlier document has as a whole is covered. Where runs share an anchor but differ, as at the ends of
-   shared passages, their bytes are sent, and there the suffixes at all windows are sorted; a window is covered if an
-   equal one is in an earlier document.
+   shared passages, their bytes are sent, and there all windows are grouped by hash; a window is covered if an equal
+   one is in an earlier document.
 3. Chunks get the answers back and remove the union of covered windows.
 
 Texts are shuffled once (the three passes over chunks read the same exchange); anchors take some 13 bytes for 16 bytes
@@ -133,7 +133,8 @@ def _merge_sort(raw: np.ndarray, prefix: np.ndarray, starts: np.ndarray, depth:
 
 
 def equal_groups(raw: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """A number for each start: equal for equal strings of ``depth`` bytes there, by suffix sort."""
+    """A number for each start: equal for equal strings of ``depth`` bytes there. Their hashes make the
+    groups, their bytes verify them; the suffix sort only numbers them."""
     prefix = prefix_hashes(raw)
     # strings with a hash of their own equal no other, and need no sorting
     hashed = substring_hash(prefix, starts, np.full(len(starts), depth))
@@ -333,7 +334,7 @@ SHARED_ROWS = "part int, chunk long, more binary, ids binary, doc binary, text b
 
 
 def _compare_shared(length: int):
-    """Sorts the suffixes at all windows of the runs that share an anchor: bits of the covered windows of each run."""
+    """Groups all windows of the runs that share an anchor: bits of the covered windows of each run."""
 
     def run(table: pa.Table) -> pa.Table:
         more = [np.frombuffer(x, np.uint8).astype(np.int64) for x in table["more"].to_pylist()]
