@@ -27,10 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from faultline.llm.common import map_text, narrow
+from faultline.llm.common import Memo, map_text, narrow
 
-#: Entries of a generation of the word memo in each Python worker, and the longest word that it holds.
-MEMO_WORDS, MEMO_LENGTH = 800_000, 48
 #: Texts above so many characters are matched piece by piece.
 LONG_TEXT, RUN_WORDS = 2_000_000, 100_000
 #: What the vocabularies' library knows of newer versions of Unicode than Python, or doesn't know yet: letters, numbers,
@@ -138,26 +136,6 @@ class Merges:
             held = held[used:]
 
 
-class _Memo(dict):
-    """Word to its packed ids, in two generations: when the younger is full, the older one is dropped."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.make(word)
-            if len(word) > MEMO_LENGTH:
-                return ids
-        if len(self) >= MEMO_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-
 class Codec:
     """Encoder and decoder of one vocabulary file (BPE, byte level, optionally with word ends)."""
 
@@ -177,7 +155,7 @@ class Codec:
         alphabet = byte_alphabet()
         self.first = [self.vocab[c] for c in alphabet]
         self.last = [self.vocab[c + self.suffix] for c in alphabet]
-        self.memo = _Memo(self.word)
+        self.memo = Memo(self.word)
         texts = {i: t for t, i in (self.vocab | self.special).items()}
         self.texts = [texts.get(i, "") for i in range(max(texts) + 1)]
         self.packed = [t.encode() for t in self.texts]

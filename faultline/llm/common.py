@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -27,34 +29,48 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset and the
+    session runs on this machine alone (tests). On a cluster it has to be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             import tempfile
 
             _own_dir.append(tempfile.mkdtemp(prefix="faultline-"))
+            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
         at = f"file://{_own_dir[0]}"
     return at.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, what: str, clean: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors. With
+    ``clean``, the shuffle files behind it are given back now, not when the driver next collects its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/faultline-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._faultline_path = path
+    out._faultline_paths = [path]
+    if clean:
+        spark._jvm.System.gc()
     return out
 
 
-def unlink(df: DataFrame) -> None:
-    """Delete the table of ``written``, when nothing lazy refers to it any more."""
-    spark, path = df.sparkSession, getattr(df, "_faultline_path", None)
-    if path:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def standing_on(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, which reads ``tables`` when it runs: ``unlink`` of it deletes them."""
+    df._faultline_paths = [p for t in tables for p in getattr(t, "_faultline_paths", [])]
+    return df
+
+
+def unlink(*dfs: DataFrame) -> None:
+    """Delete the tables of ``written`` that ``dfs`` read, when nothing lazy refers to them any more. A result that
+    isn't unlinked keeps one small table; all others are deleted by the operators themselves."""
+    for df in dfs:
+        jvm = df.sparkSession._jvm
+        for path in getattr(df, "_faultline_paths", []):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
@@ -72,6 +88,23 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
             start = end
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to more tasks where a table has fewer row groups than there are cores; large tables aren't moved.
+    Rows are dealt by their number in the scan, so equal rows don't gather."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    query = df._jdf.queryExecution()
+    plan = query.optimizedPlan()
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if plan.collectLeaves().size() != 1 or int(str(plan.stats().sizeInBytes())) >= cores * split or query.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    if df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return df
+    names = df.columns
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.monotonically_increasing_id().alias("n"))
+    return rows.repartition(2 * cores, "n").select("row.*")
+
+
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
     """``fn`` over slices of ``df``."""
 
@@ -81,16 +114,13 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
-def size_hint(df: DataFrame, text: str = "text") -> int:
-    """About the bytes of ``df``: from file sizes where its plan reads one table, else by a scan of its texts."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    known = int(str(plan.stats().sizeInBytes()))
-    if plan.collectLeaves().size() == 1 and known < 1 << 60:
-        return known
-    return int(df.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16)).first()[0] or 0) // 2
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """The bytes of all texts, and 16 for each row: counted, as the size of files says little about texts with many
+    copies, and depends on how they were written."""
+    return int(df.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16)).first()[0] or 0)
 
 
 def row_count(df: DataFrame) -> int:
@@ -106,3 +136,69 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+class Memo(dict):
+    """Values of words, made once, in two generations: when the younger one is full, the older one is dropped."""
+
+    LENGTH = 48
+
+    def __init__(self, make, most: int = 800_000):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+            if len(word) > self.LENGTH:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+
+#: Rows of a key from which its join is split, unless the table has so many rows that a thousandth is more.
+HOT = 10_000
+
+
+def hot(counts: DataFrame, key: str) -> list[tuple]:
+    """(key, shares) of the keys of ``counts`` (key, rows) with more than HOT rows and a thousandth of all: at most a
+    thousand, so they may come to the driver."""
+    total = int(counts.agg(F.sum("rows")).first()[0] or 0)
+    if total <= HOT:
+        return []
+    least = max(HOT, total // 1000)
+    return [(k, int(-(-n // least))) for k, n in counts.filter(F.col("rows") > least).select(key, "rows").collect()]
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, hot_keys: list[tuple], by: str) -> DataFrame:
+    """``left`` joined with ``right``, which has a row for each ``key``. A hot key's rows of ``left`` are dealt by a hash
+    of the column ``by``, and its row of ``right`` is copied to each share."""
+    if not hot_keys:
+        return left.join(right, key)
+    spark, kind = left.sparkSession, dict(left.dtypes)[key]
+    shares = spark.createDataFrame(hot_keys, f"`{key}` {kind}, shares int")
+    many = left.join(F.broadcast(shares), key, "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64(by), F.col("shares")), F.lit(0)).cast("int")).drop("shares")
+    few = right.join(F.broadcast(shares), key, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares"), F.lit(1)) - 1))).drop("shares")
+    return many.join(few, [key, "share"]).drop("share")
+
+
+def roots_of(linked: np.ndarray, cut: int = 0) -> np.ndarray:
+    """The least index that each index hangs together with. ``linked`` is square, or if there is a ``cut``, has the
+    indexes before it as rows and those behind it as columns."""
+    rows = np.arange(linked.shape[0])
+    columns = np.arange(linked.shape[1]) + cut
+    label = np.arange(cut + linked.shape[1])
+    none = len(label)
+    while True:
+        least = label.copy()
+        least[rows] = np.minimum(least[rows], np.where(linked, label[columns][None, :], none).min(axis=1, initial=none))
+        if cut:
+            least[columns] = np.minimum(least[columns], np.where(linked, label[rows][:, None], none).min(axis=0, initial=none))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least

@@ -5,7 +5,7 @@ place the longest known one of at most ``GRAMS`` letters, then shorter ones, and
 are the sums over its words; its score is the posterior of the best language.
 
 The model is fitted on a bounded sample: at most about ``train_docs`` documents, shared equally by the languages and
-chosen by a hash of doc_id, and keeps ``words`` words and ``grams`` n-grams a language and length.
+chosen by a hash of doc_id, whose whole texts are counted. It keeps every word and n-gram of the sample.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is everything if there is nothing
 to learn from; ties between languages go to the first in alphabetical order; repeated rows give repeated results;
@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.bpe import _Memo
-from faultline.llm.common import map_text, narrow
+from faultline.llm.common import Memo, map_text, narrow
 
 GRAMS = 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -44,25 +44,27 @@ class Model:
     def __init__(self, langs: list[str], rows: list[tuple[int, str, str, int]]):
         self.langs = langs
         at = {x: i for i, x in enumerate(langs)}
-        counts: dict[int, dict[str, np.ndarray]] = {}
+        #: for each length (0: words) the place of each n-gram in a matrix
+        self.places: dict[int, dict[str, int]] = {}
+        for n, gram, _, _ in rows:
+            known = self.places.setdefault(n, {})
+            known.setdefault(gram, len(known))
+        counts = {n: np.zeros((len(known), len(langs))) for n, known in self.places.items()}
         for n, gram, lang, c in rows:
-            counts.setdefault(n, {}).setdefault(gram, np.zeros(len(langs)))[at[lang]] += c
-        self.logs: dict[int, dict[str, np.ndarray]] = {}
-        for n, table in counts.items():
-            total = sum(table.values()) + 0.5 * (len(table) + 1)
-            self.logs[n] = {g: np.log((c + 0.5) / total) for g, c in table.items()}
+            counts[n][self.places[n][gram], at[lang]] += c
+        self.logs = {n: np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * (len(c) + 1))) for n, c in counts.items()}
 
     def word(self, word: str) -> np.ndarray:
         """0 is the table of words; n that of n-grams."""
-        found = self.logs.get(0, {}).get(word)
-        if found is not None:
-            return found
+        place = self.places.get(0, {}).get(word)
+        if place is not None:
+            return self.logs[0][place]
         padded, total, i = f"^{word}$", np.zeros(len(self.langs)), 0
         while i < len(padded):
             for n in range(min(GRAMS, len(padded) - i), 0, -1):
-                found = self.logs.get(n, {}).get(padded[i : i + n])
-                if found is not None:
-                    total = total + found
+                place = self.places.get(n, {}).get(padded[i : i + n])
+                if place is not None:
+                    total = total + self.logs[n][place]
                     break
             i += n
         return total
@@ -81,7 +83,7 @@ class Model:
         return self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
-def fit(df: DataFrame, train_docs: int = 6000, words: int = 20_000, grams: int = 8_000) -> Model:
+def fit(df: DataFrame, train_docs: int = 6000) -> Model:
     """Learn from the rows of (doc_id, text, lang) that are not held out."""
     rows = narrow(df, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -93,35 +95,39 @@ def fit(df: DataFrame, train_docs: int = 6000, words: int = 20_000, grams: int =
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_docs / len(langs) / sizes[lang]))).otherwise(share)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
-    def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        words_of: dict[str, Counter] = {}
+    def words(b: pa.RecordBatch) -> pa.RecordBatch:
+        seen: dict[str, Counter] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            words_of.setdefault(lang, Counter()).update(letters(text or ""))
-        seen: Counter = Counter()
-        for lang, found in words_of.items():
-            for word, c in found.items():
-                seen[0, word[:64], lang] += c
+            seen.setdefault(lang, Counter()).update(letters(text or ""))
+        rows = [(lang, word, c) for lang, found in seen.items() for word, c in found.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "c"])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for lang, word, c in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                seen[0, word, lang] += c
                 padded = f"^{word}$"
                 for n in range(1, GRAMS + 1):
                     for i in range(len(padded) - n + 1):
                         seen[n, padded[i : i + n], lang] += c
-        keys = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], ["n", "gram", "lang", "c"])
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], ["n", "gram", "lang", "c"])
 
-    counted = map_text(sample, count, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-    ranked = counted.withColumn("at", F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("c"), "gram")))
-    kept = ranked.filter(F.col("at") <= F.when(F.col("n") == 0, words).otherwise(grams)).select("n", "gram", "lang", "c")
-    return Model(langs, sorted(map(tuple, kept.collect())))
+    # each language's words are counted first, so that a word's n-grams are made once
+    counted = map_text(sample, words, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
+    found = counted.mapInArrow(grams, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c")).toArrow()
+    return Model(langs, sorted(zip(*[found.column(i).to_pylist() for i in range(4)])))
 
 
 def identify(df: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    memos: dict[str, _Memo] = {}
+    memos: dict[str, Memo] = {}
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        memo = memos.setdefault("memo", _Memo(m.packed)).__getitem__
+        memo = memos.setdefault("memo", Memo(m.packed)).__getitem__
         found = [m.predict(text, memo) for text in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 

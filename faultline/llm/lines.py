@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import map_text, narrow, size_hint, slices
+from faultline.llm.common import map_text, narrow, text_bytes, slices
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Keys whose counts a task holds to combine hot keys.
@@ -140,7 +140,7 @@ def keep_bitmaps(df: DataFrame, min_docs: int = 10, least: int = 1) -> DataFrame
 
 
 def _bitmaps(docs: DataFrame, min_docs: int, least: int) -> DataFrame:
-    parts = max(8, size_hint(docs) // (16 << 20))
+    parts = max(8, text_bytes(docs) // (32 << 20))
     rows = _keys(docs, min_docs, least, parts).repartition(parts, "part").sortWithinPartitions("h1", "h2", "id", "at")
     gathered = _dropped(rows, min_docs).groupBy("id", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.collect_list("at").alias("at"))
 

@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import mix64, narrow, size_hint
+from faultline.llm.common import mix64, narrow, text_bytes
 
 GRAM = 20
-#: Bytes of text of a chunk, bytes of a block of the arrays, and the file bytes behind a partition of anchors.
-CHUNK, BLOCK, PART = 2 << 20, 1 << 20, 6 << 20
+#: Bytes of text of a chunk, of a block of the arrays, and behind a partition of anchors.
+CHUNK, BLOCK, PART = 3 << 20, 1 << 20, 16 << 20
 LAST = np.iinfo(np.int64).max
 NONE, WHOLE, SHARED = 0, 1, 2
 U = np.uint64
@@ -406,8 +406,8 @@ def repeats(df: DataFrame, length: int = 50, texts: bool = False) -> DataFrame:
     if not GRAM < length <= GRAM + 63:
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 63}")
     docs = narrow(df, "doc_id", "text")
-    hint = size_hint(docs)
-    chunks, parts = max(2, 2 * hint // CHUNK), max(4, hint // PART)
+    hint = text_bytes(docs)
+    chunks, parts = max(2, hint // CHUNK), max(4, hint // PART)
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
     sent = dealt.groupBy("chunk").applyInArrow(_send(length, parts), SENT)
     first = sent.groupBy("part").applyInArrow(_compare, ANSWER)

@@ -13,11 +13,11 @@ import pytest
 from tokenizers import Tokenizer
 
 from faultline.llm import avi, bpe, langid, lines, packing, pii, quality
-from faultline.llm.queries import ORACLES, QUERIES, TOKENIZERS
+from faultline.llm.queries import ORACLES, QUERIES, vocabulary
 from tests.llm.helpers import EDGE, edge, key
 from tests.oracle import SF, both
 
-WORD, BYTE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json"
+WORD, BYTE = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
@@ -241,7 +241,7 @@ def test_backoff():
     m = langid.Model(["a", "b"], [(0, "xy", "a", 5), (3, "^pq", "b", 4), (1, "$", "a", 1), (1, "$", "b", 1), (1, "p", "a", 3), (1, "q", "a", 3)])
     assert m.word("xy")[0] > m.word("xy")[1]
     assert m.word("pq")[1] > m.word("pq")[0], "the trigram counts, not its letters"
-    assert m.word("zz") == pytest.approx(m.logs[1]["$"])
+    assert m.word("zz") == pytest.approx(m.logs[1][m.places[1]["$"]])
 
 
 def test_quality(spark):
@@ -316,3 +316,54 @@ def test_pii_added_kinds(spark):
     assert rows[3].base_sha256 == hashlib.sha256(b"email:0:5,ip:6:13,card:31:50,phone:14:29").hexdigest()
     assert pii.redacted(edge(spark)).columns == edge(spark).columns and pii.redacted(edge(spark)).count() == len(EDGE) and pii.find(edge(spark)).count() == len(EDGE)
     assert pii.digests(edge(spark, [])).count() == 0
+
+
+def test_language_counts_are_those_of_all_training_texts(spark):
+    import zlib
+    from collections import Counter
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    long_word = "abcdefghij" * 7
+    rows += [(9_000_001 + i, f"{long_word} {long_word}", "en") for i in range(10)]
+    counts = {}
+    for i, t, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 5:
+            for w in langid.letters(t or ""):
+                counts.setdefault(0, Counter())[w, lang] += 1
+                p = f"^{w}$"
+                for n in range(1, langid.GRAMS + 1):
+                    for k in range(len(p) - n + 1):
+                        counts.setdefault(n, Counter())[p[k : k + n], lang] += 1
+    langs = sorted({lang for _, _, lang in rows if lang is not None})
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == langs and long_word in model.places[0]
+    for n, found in counts.items():
+        grams = {g for g, _ in found}
+        assert model.places[n].keys() == grams
+        for k, lang in enumerate(langs):
+            total = sum(c for (_, x), c in found.items() if x == lang) + 0.5 * (len(grams) + 1)
+            for g in list(grams)[:2000]:
+                assert abs(model.logs[n][model.places[n][g], k] - np.log((found[g, lang] + 0.5) / total)) < 1e-9
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    import duckdb
+
+    rows = [(1, "same line\nother")] * 6 + [(2, "same line")] * 3 + [(3, "same  line"), (4, "Same line ")]
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        expected = key(c.execute(ORACLES["op4_line_dedup"]).fetchall())
+    assert key(lines.digests(edge(spark, rows)).collect()) == expected and sum(r[2] for r in expected) == 10
+
+
+def test_sizes_are_counted_in_bytes_of_text(spark, tmp_path):
+    from faultline.llm import common
+
+    df = spark.createDataFrame([(i, "the same text in every row " * 40) for i in range(2000)], "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/copies")
+    read = spark.read.parquet(f"file://{tmp_path}/copies")
+    assert common.text_bytes(read) == 2000 * (27 * 40 + 16)
+    dealt = common.spread(read)
+    assert dealt.rdd.getNumPartitions() > 1 and dealt.columns == read.columns and dealt.count() == 2000
+    assert min(map(len, dealt.select("doc_id").rdd.glom().collect())) > 0
