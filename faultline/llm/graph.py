@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import unlink, written
+from faultline.llm.common import standing_on, unlink, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,4 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = (n, total)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return standing_on(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), now)

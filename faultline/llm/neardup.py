@@ -26,9 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import mix64, narrow, row_count, written
+from faultline.llm.common import mix64, narrow, roots_of, row_count, standing_on, unlink, written
 from faultline.llm.graph import components
-from faultline.llm.minhash import _roots
 
 WIDTH, MISS, BUCKET, BLOCK, SEED = 2.0, 0.003, 64, 1024, 20240229
 
@@ -103,13 +102,14 @@ def _compare(cosine: float, kind: str):
         out: tuple[list, list, list] = ([], [], [])
 
         def close() -> None:
+            for size in {len(r[3]) for r in held}:  # one, but for a hash collision
+                compare([r for r in held if len(r[3]) == size])
+
+        def compare(held: list) -> None:
             if len(held) < 2:
                 return
             blocks, weights = np.array([r[0] for r in held]), np.array([r[2] for r in held], np.int64)
-            vectors = [np.frombuffer(r[3], kind).astype(np.float64) for r in held]
-            if len({len(v) for v in vectors}) > 1:  # a hash collision
-                return
-            x = _unit(np.stack(vectors))
+            x = _unit(np.stack([np.frombuffer(r[3], kind).astype(np.float64) for r in held]))
             linked = x @ x.T >= cosine
             np.fill_diagonal(linked, False)
             if now[2] != now[3]:
@@ -124,7 +124,7 @@ def _compare(cosine: float, kind: str):
                 out[0].append(held[i][1])
                 out[1].append(None)
                 out[2].append(int(links[i]))
-            roots = _roots(linked)
+            roots = roots_of(linked)
             for i in np.flatnonzero(roots != np.arange(len(roots))):
                 out[0].append(held[i][1])
                 out[1].append(held[roots[i]][1])
@@ -168,7 +168,8 @@ def links(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_co
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.select("node", "n", "least").join(counts, "node", "left").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
     known = known.join(known.groupBy("r").agg(F.min("least").alias("component_id")), "r")
-    facts = known.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
+    facts = written(known.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id"), "facts")
+    unlink(classes, found, roots)
     linked = rows.filter("node IS NOT NULL").select("vec_id", "node").join(facts, "node").select("vec_id", "n_links", "component_id")
     alone = rows.filter("node IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return standing_on(linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), facts)

@@ -50,3 +50,20 @@ def test_edge_rows_pass_every_stage(spark):
                 assert out.columns == docs.columns and out.count() <= len(rows)
                 docs = out
         assert out.count() >= docs.count()
+
+
+def test_written_tables_are_deleted(spark):
+    import os
+
+    from faultline.llm.common import shared_dir, unlink
+    from faultline.llm.queries import QUERIES
+
+    at, small = shared_dir(spark).removeprefix("file://"), "/root/testdata/sf0.001"
+    held = lambda: {x for x in os.listdir(at) if x.startswith("faultline-")}
+    before = held()
+    for f in (QUERIES["op5_embedding_dedup"], QUERIES["op6_minhash_dedup"], corpus_pipeline.run):
+        found = f(spark, small)
+        assert found.count() and len(held() - before) == 1
+        unlink(found)
+        assert held() == before
+    assert all(not held() - before for n in ("op2_langid", "op4_line_dedup", "op9_suffix_dedup") if QUERIES[n](spark, small).count())
