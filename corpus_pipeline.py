@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import lines, minhash, packing, pii, quality
-from faultline.llm.common import table, unlink, written
-from faultline.llm.queries import TOKENIZERS
+from faultline.llm.common import standing_on, table, unlink, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,7 +30,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies."""
-    return minhash.dedup(docs, contain=0.6, ratio=0.8)
+    return minhash.dedup(docs, contain=0.6, ratio=0.4)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents in sequences of 1024 tokens."""
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", size=1024, end=2)
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), size=1024, end=2)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -56,8 +56,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is a table that the next one reads."""
+    """All stages over ``documents``; each one's result is a table that the next one reads, and deleted when that is
+    written. The last one's rows read the one before: ``unlink`` of them deletes it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
+        after = written(made, name, clean=True)
+        unlink(docs, made)
+        docs = after
+    return standing_on(STAGES[-1][1](spark, docs, sf_dir), docs)
