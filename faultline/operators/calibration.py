@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.config import Weights
@@ -14,7 +14,10 @@ from faultline.operators import scoring
 
 STEP, LEAST_STEP, SWEEPS, GAIN = 0.05, 0.01, 100, 1e-10
 TOP_PERCENT = 20
-#: Files up to which the search runs over one matrix on the driver (64 bytes a file); beyond, each trial is a job.
+#: Scores are compared to so many digits, so that ranks don't depend on the order of sums.
+DIGITS = 9
+#: Files up to which the search runs over one matrix on the driver (64 bytes a file, and its path while they are sorted); beyond, each
+#: trial is a job, with the same result.
 DRIVER_FILES = 5_000_000
 
 
@@ -35,10 +38,10 @@ def features(files: DataFrame, half_life: int, until: str) -> DataFrame:
 
 
 def detection_rate(rows: DataFrame, weights: list[float], top_percent: int = TOP_PERCENT) -> DataFrame:
-    """One row: the share of bug-fixed files among the best ``top_percent`` by weighted score. Only (score, path)
-    rows above the cut are ranked, and ties go by path."""
+    """One row: the share of bug-fixed files among the best ``top_percent`` by weighted score, to DIGITS. Only
+    (score, path) rows above the cut are ranked, and ties go by path."""
     score = sum((F.lit(w) * F.col("features")[i] for i, w in enumerate(weights)), F.lit(0.0))
-    scored = rows.select("path", "is_bugfix", score.alias("score"))
+    scored = rows.select("path", "is_bugfix", F.round(score, DIGITS).alias("score"))
     n = scored.count()
     best = min(n, math.ceil(n * top_percent / 100))
     first = scored.orderBy(F.desc("score"), "path").limit(best) if best else scored.limit(0)
@@ -46,27 +49,20 @@ def detection_rate(rows: DataFrame, weights: list[float], top_percent: int = TOP
     return scored.agg(F.count_if("is_bugfix").alias("total")).crossJoin(hits).select(F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(0.0).alias("rate"))
 
 
-def detection_rate_window(rows: DataFrame, weights: list[float], top_percent: int = TOP_PERCENT) -> DataFrame:
-    """The same in one lazy plan, with a rank over all rows: for tables of files that fit one task."""
-    score = sum((F.lit(w) * F.col("features")[i] for i, w in enumerate(weights)), F.lit(0.0))
-    placed = rows.select("is_bugfix", F.row_number().over(Window.orderBy(F.desc(F.round(score, 9)), "path")).alias("at"))
-    totals = rows.agg(F.count("*").alias("n"), F.count_if("is_bugfix").alias("total"))
-    cut = F.least(F.col("n"), F.ceil(F.col("n") * top_percent / 100))
-    return placed.crossJoin(F.broadcast(totals)).agg((F.count_if(F.col("is_bugfix") & (F.col("at") <= cut)) / F.greatest(F.max("total"), F.lit(1))).alias("rate"))
-
-
 class _Matrix:
+    """``detection_rate`` over arrays, with the same ranks."""
+
     def __init__(self, rows: DataFrame):
         table = rows.select("path", "features", "is_bugfix").orderBy("path").toArrow()
-        self.x = np.array(table["features"].to_pylist(), dtype=float).reshape(-1, len(scoring.FILE_PARTS))
-        self.y = np.array(table["is_bugfix"].to_pylist(), dtype=bool)
+        self.x = table["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(scoring.FILE_PARTS))
+        self.y = table["is_bugfix"].combine_chunks().to_numpy(zero_copy_only=False)
 
     def rate(self, weights: list[float], top_percent: int) -> float:
         total = int(self.y.sum())
         if not total:
             return 0.0
         best = min(len(self.x), math.ceil(len(self.x) * top_percent / 100))
-        order = np.argsort(-(self.x @ np.array(weights)), kind="stable")[:best]
+        order = np.argsort(-np.round(self.x @ np.array(weights), DIGITS), kind="stable")[:best]
         return float(self.y[order].sum() / total)
 
 
@@ -98,6 +94,7 @@ def calibrate(files: DataFrame, current: Weights, half_life: int, until: str, to
     top_percent = top_percent if top_percent > 0 else TOP_PERCENT
     rows = features(files, half_life, until)
     n, fixed = rows.agg(F.count("*"), F.count_if("is_bugfix")).first()
+    kept = None
     if n <= DRIVER_FILES:
         matrix = _Matrix(rows)
         rate = lambda w: matrix.rate(w, top_percent)
@@ -106,6 +103,8 @@ def calibrate(files: DataFrame, current: Weights, half_life: int, until: str, to
         rate = lambda w: detection_rate(kept, w, top_percent).first()[0]
     now = rate(current.as_list())
     weights, best = optimize(rate)
+    if kept is not None:
+        kept.unpersist()
     if best > now:
         return Result(n, fixed, current, now, Weights(*[math.floor(w * 100 + 0.5) / 100 for w in weights]), best)
     return Result(n, fixed, current, now, current, now)

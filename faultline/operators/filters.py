@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import patterns
 
 
-def _at(t: str) -> Column:
-    return F.lit(t).cast("timestamp")
+def instant(t: str) -> Column:
+    """An ISO date or time; without an offset it is UTC, whatever the session's time zone."""
+    at = datetime.fromisoformat(t)
+    return F.lit(at if at.tzinfo else at.replace(tzinfo=timezone.utc))
 
 
 def time_range(history: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
     """Both ends belong to the range."""
     if since is not None:
-        history = history.filter(F.col("when") >= _at(since))
+        history = history.filter(F.col("when") >= instant(since))
     if until is not None:
-        history = history.filter(F.col("when") <= _at(until))
+        history = history.filter(F.col("when") <= instant(until))
     return history
 
 

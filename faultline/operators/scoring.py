@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.config import CommitScoring, Scoring
 from faultline.functions import scalars
+from faultline.operators.filters import instant
 
 FILE_PARTS = ("commit", "churn", "recency", "burst", "ownership", "bugfix", "complexity")
 
@@ -32,7 +33,7 @@ def file_features(files: DataFrame, half_life: int, until: str) -> DataFrame:
     def norm(c: Column, name: str) -> Column:
         return scalars.norm_log(c, F.col(f"{name}_min"), F.col(f"{name}_max"))
 
-    days = scalars.days_between(F.lit(until).cast("timestamp"), F.col("last_modified"))
+    days = scalars.days_between(instant(until), F.col("last_modified"))
     features = {
         "commit": norm(F.col("commit_count"), "commit"),
         "churn": norm(F.col("added_lines") + F.col("deleted_lines"), "churn"),

@@ -351,7 +351,7 @@ def calibration_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT round(count(*) FILTER (WHERE is_bugfix AND place <= ceil(n * 20 / 100e0)) / CAST(count(*) FILTER (WHERE is_bugfix) AS DOUBLE), 6) AS rate FROM r""")
 def detection_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = calibration.features(files.metrics(bridge.history(spark, sf_dir), bridge.PATTERNS), 30, bridge.UNTIL)
-    return rounded(calibration.detection_rate_window(rows, [0.3, 0.3, 0, 0.2, 0.2, 0, 0]))
+    return rounded(calibration.detection_rate(rows, [0.3, 0.3, 0, 0.2, 0.2, 0, 0]))
 
 
 @query()

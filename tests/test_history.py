@@ -182,7 +182,7 @@ def test_time_range_is_inclusive(spark):
 def test_recall(spark):
     rows = spark.createDataFrame([(f"p{i}", [v] + [0.0] * 6, fix) for i, (v, fix) in enumerate([(0.9, True), (0.8, True), (0.5, False), (0.3, False), (0.1, False)])], "path string, features array<double>, is_bugfix boolean")
     w = [1.0] + [0.0] * 6
-    for rate in (calibration.detection_rate, calibration.detection_rate_window):
+    for rate in (calibration.detection_rate,):
         assert rate(rows, w, 40).first()[0] == 1.0 and rate(rows, w, 20).first()[0] == 0.5
     matrix = calibration._Matrix(rows)
     assert matrix.rate(w, 40) == 1.0 and matrix.rate(w, 20) == 0.5

@@ -16,6 +16,45 @@ def test_calibrate_is_at_least_as_good(spark):
     assert abs(sum(row[c] for c in row.asDict() if c.startswith("w_")) - 1) < 0.06
 
 
+def test_calibrate_is_the_descent_by_brute_force(spark, monkeypatch):
+    import math
+
+    from faultline.config import Weights
+    from faultline.operators import calibration, files
+    from faultline.sources import bridge
+
+    made = files.metrics(bridge.history(spark, SF), bridge.PATTERNS)
+    rows = [(r.path, list(r.features), r.is_bugfix) for r in calibration.features(made, 30, bridge.UNTIL).collect()]
+
+    def rate(weights):
+        ranked = sorted(rows, key=lambda r: (-round(sum(w * f for w, f in zip(weights, r[1])), 9), r[0]))
+        best = ranked[: min(len(rows), math.ceil(len(rows) * 20 / 100))]
+        return sum(r[2] for r in best) / max(1, sum(r[2] for r in rows))
+
+    weights, step = [1 / 7] * 7, 0.05
+    best, sweeps = rate(weights), 0
+    while sweeps < 100:
+        sweeps, better = sweeps + 1, False
+        for i in range(7):
+            for j in range(7):
+                if i != j and weights[j] >= step:
+                    trial = [w + step * (k == i) - step * (k == j) for k, w in enumerate(weights)]
+                    if rate(trial) > best + 1e-10:
+                        weights, best, better = trial, rate(trial), True
+        if not better:
+            if step <= 0.01:
+                break
+            step /= 2
+    current = Weights()
+    now = rate(current.as_list())
+    found = calibration.calibrate(made, current, 30, bridge.UNTIL)
+    assert (found.current_rate, found.recommended_rate) == (now, max(best, now))
+    expected = [math.floor(w * 100 + 0.5) / 100 for w in weights] if best > now else current.as_list()
+    assert found.recommended_weights.as_list() == pytest.approx(expected)
+    kept = calibration.features(made, 30, bridge.UNTIL)
+    assert all(calibration.detection_rate(kept, w).first()[0] == pytest.approx(rate(w)) for w in (weights, current.as_list()))
+
+
 def test_entry_has_every_query(spark):
     import __spark_entry__ as e
 
