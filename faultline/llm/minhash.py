@@ -2,7 +2,7 @@
 
 A text is the set of its ``WORDS``-word shingles. Two different texts are linked if one contains at least ``contain``
 of the other's shingles and the smaller set has at least ``ratio`` of the larger one's size. Containment in still longer
-texts, as of quotes, isn't a near copy and isn't searched for. Identical texts are one class and are compared once.
+texts, as of quotes, isn't a near copy and makes no group; its links are counted by an exact index (``contained``). Identical texts are one class and are compared once.
 
 Sets are partitioned by size. For each partition the containment becomes the least Jaccard similarity that linked sets
 can have there, and the banding (rows a band, bands) is tuned to it. A set is put into its own partition's index and
@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import Memo, hot, join_spread, map_text, mix64, narrow, roots_of, slices, spread, standing_on, text_bytes, unlink, written
+from faultline.llm.contained import far_links
 from faultline.llm.graph import components
 
 WORDS, VALUES = 3, 168
@@ -568,10 +569,11 @@ def _accompanied(members: DataFrame, sets: DataFrame, contain: float, ratio: flo
     return members.join(found, ["key", "class"], "left_semi")
 
 
-def groups(df: DataFrame, contain: float = 0.6, ratio: float = RATIO, with_class: bool = False) -> DataFrame:
-    """doc_id, class_id, group_id, n_copies, n_links, kept of every document. class_id is the least doc_id with the same
-    text, group_id the least one of the texts that hang together, n_copies the other documents with the same text,
-    n_links the other texts that are linked directly, kept whether it is its group's first document."""
+def groups(df: DataFrame, contain: float = 0.6, ratio: float = RATIO, with_class: bool = False, far: bool = True) -> DataFrame:
+    """doc_id, class_id, group_id, n_copies, n_links, kept, n_contained of every document. class_id is the least doc_id with
+    the same text, group_id the least one of the texts that hang together, n_copies the other documents with the same text,
+    n_links the other texts that are linked directly, kept whether it is its group's first document, n_contained the other
+    texts linked with it whose sizes are beyond ``ratio``; it isn't there without ``far``."""
     docs = narrow(df, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("class", F.unhex(F.md5(F.col("text").cast("binary"))))
     parts = max(4, text_bytes(df) // PART)
     classes = docs.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
@@ -617,24 +619,27 @@ def groups(df: DataFrame, contain: float = 0.6, ratio: float = RATIO, with_class
     held = roots.select(F.col("root").alias("key"), F.col("node").alias("class"), F.lit(True).alias("failed"))
     links = _compare_blocks(held, sets, contain, ratio, False).groupBy("class").agg(F.sum("links").alias("n_links"))
     known = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").join(links, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    beyond = [far_links(docs.select("class", "text"), shingles, parts, contain, ratio)] if far else []
+    for counts in beyond:
+        known = known.join(counts.withColumnRenamed("id", "start"), F.substring("class", 1, 8) == F.col("start"), "left").drop("start")
     known = written(known, "known", clean=True)
-    unlink(roots, sets)
+    unlink(roots, sets, *beyond)
     least = known.groupBy("root").agg(F.min("class_id").alias("group_id"), F.min("first").alias("group_first"), F.count("*").alias("rows"))
     grouped = join_spread(known, least.drop("rows"), "root", hot(least, "root"), "class")
-    columns = ("class", "class_id", "group_id", (F.col("n") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("first") == F.col("group_first")).alias("leads"))
+    columns = ("class", "class_id", "group_id", (F.col("n") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("first") == F.col("group_first")).alias("leads"), *[F.coalesce("n_contained", F.lit(0)).cast("long").alias("n_contained")] * far)
     facts = written(grouped.select(*columns), "facts")
     unlink(known)
     rows = docs.groupBy("class", "doc_id").agg(F.count("*").alias("times"))
     joined = join_spread(rows, facts, "class", hot(facts.select("class", (F.col("n_copies") + 1).alias("rows")), "class"), "doc_id").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     kept = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("again") == 1)
-    return standing_on(joined.select(*["class"] * with_class, "doc_id", "class_id", "group_id", "n_copies", "n_links", kept.alias("kept")), facts)
+    return standing_on(joined.select(*["class"] * with_class, "doc_id", "class_id", "group_id", "n_copies", "n_links", kept.alias("kept"), *["n_contained"] * far), facts)
 
 
 def dedup(df: DataFrame, contain: float = 0.6, ratio: float = RATIO) -> DataFrame:
     """All columns of ``df``, of one document of each group."""
     names = df.columns
     text_class = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    found = groups(df, contain, ratio, with_class=True)
+    found = groups(df, contain, ratio, with_class=True, far=False)
     kept = found.filter("kept").select(F.col("class"), F.col("doc_id").alias("id"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text_class.alias("class"), F.col("doc_id").alias("id"))
     stay = rows.join(kept.hint("shuffle_hash"), (rows["class"] == kept["class"]) & rows["id"].eqNullSafe(kept["id"]), "left_semi")

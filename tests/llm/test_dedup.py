@@ -5,9 +5,11 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from faultline.llm import graph, minhash, neardup, suffixes
+from faultline.llm import contained, graph, minhash, neardup, suffixes
 from faultline.llm.queries import QUERIES
 from tests.llm.helpers import EDGE, edge, key
 from tests.oracle import SF
@@ -199,6 +201,56 @@ def test_minhash_links_texts_that_grew(spark):
     assert all(got[i].n_links <= n for i, n in links.items()) and sum(got[i].n_links for i in links) >= 0.97 * 2 * whole
 
 
+def slow_contained(texts, contain=0.6, ratio=0.4):
+    """Of each of the different ``texts``: the links with texts whose sizes are beyond the ratio."""
+    sets, links = [set(minhash.shingles(t).tolist()) for t in texts], dict.fromkeys(texts, 0)
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        low, high = sorted((len(sets[a]), len(sets[b])))
+        if 0 < low < ratio * high - 1e-9 and len(sets[a] & sets[b]) >= contain * low - 1e-9:
+            links[texts[a]] += 1
+            links[texts[b]] += 1
+    return links
+
+
+@pytest.mark.parametrize("rows", ["given", "drawn"])
+def test_minhash_counts_links_of_any_sizes(spark, rows):
+    sf = "/root/testdata/sf0.01"
+    if rows == "given":
+        rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+        got = QUERIES["op6_minhash_dedup"](spark, sf).collect()
+    else:
+        rows = near_copies() + [(1000 + i, t) for i, t in enumerate(["", "one", "ONE", "one", " \n", "a b", "a  b"])] + [(2000, "x " * 40_000 + "y"), (2001, "x x x"), (2001, "x x x")]
+        got = minhash.groups(edge(spark, rows)).collect()
+    whole = slow_contained(list({t or "": None for _, t in rows}))
+    assert sum(whole.values()) > 20
+    assert sorted((r.doc_id, r.n_contained) for r in got) == sorted((i, whole[t or ""]) for i, t in rows)
+
+
+@pytest.mark.parametrize("lots", [(150, 5, 7), (1_000_000, 500_000, 2_000_000)])
+def test_contained_in_lots(monkeypatch, lots):
+    for name, n in zip(("SENT", "RUN", "MANY"), lots):
+        monkeypatch.setattr(contained, name, n)
+    texts = list({t or "": None for _, t in near_copies(120)})
+    name = lambda t: hashlib.md5(t.encode()).digest()
+    told = [pa.RecordBatch.from_arrays([pa.array([name(t) for t in ts]), pa.array(ts)], ["class", "text"]) for ts in (texts[:70], texts[50:], texts[:9])]
+
+    def by_part(rows, f):
+        return [f(rows.filter(pc.equal(rows["part"], p))) for p in pc.unique(rows["part"]).to_pylist()]
+
+    of = lambda table, *kinds: table.filter(pc.is_in(table["kind"], pa.array(kinds, pa.int32())))
+    spelt = pa.concat_tables(pa.Table.from_batches(list(contained._spelt(minhash.shingles, 3)([b]))) for b in told)
+    far = pa.concat_tables(by_part(spelt, contained._find(0.4, 3)))
+    asks = pa.concat_tables(by_part(of(far, contained.ASKED), contained._choose(0.6)))
+    met = pa.concat_tables(by_part(pa.concat_tables([of(far, contained.HELD), of(asks, contained.CHOSEN)]), contained._meet(0.4, 3)))
+    askers = of(asks, contained.ASKER)
+    every = pa.concat_tables([met, *[askers.set_column(0, "part", pa.array([p] * len(askers), pa.int32())) for p in range(3)]])
+    links = dict.fromkeys((name(t)[:8] for t in texts), 0)
+    for t in by_part(every, contained._count(0.6)):
+        for i, n in zip(*t.to_pydict().values()):
+            links[i] += n
+    assert links == {name(t)[:8]: n for t, n in slow_contained(texts).items()} and sum(links.values()) > 20
+
+
 def test_banding_meets_its_bound():
     for p in range(0, 40):
         rows, bands = minhash.banding(p, 0.6, 0.8)
