@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -114,7 +116,43 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
             if out is not None and out.num_rows:
                 yield out
 
-    return spread(df).mapInArrow(run, schema)
+    return spread(df).mapInArrow(lean(run), schema)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives its memory back when a task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` on a group, as ``lean``."""
+
+    def group(rows: pa.Table) -> pa.Table:
+        out = run(rows)
+        give_back()
+        return out
+
+    return group
+
+
+def give_back() -> None:
+    """Workers live on for the next operators, so what a task freed goes back to the system, and memos to which it didn't
+    add, as they are of other operators, are dropped."""
+    for memo in [m for m in (r() for r in Memo.all) if m is not None]:
+        if not memo.added:
+            memo.clear()
+            memo.old = {}
+        memo.added = False
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
@@ -142,12 +180,15 @@ class Memo(dict):
     """Values of words, made once, in two generations: when the younger one is full, the older one is dropped."""
 
     LENGTH = 48
+    all: list[weakref.ref[Memo]] = []
 
     def __init__(self, make, most: int = 800_000):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.added = make, most, {}, False
+        Memo.all[:] = [r for r in Memo.all if r() is not None] + [weakref.ref(self)]
 
     def __missing__(self, word: str) -> bytes:
+        self.added = True
         value = self.old.get(word)
         if value is None:
             value = self.make(word)

@@ -15,7 +15,8 @@ task, 8 bytes each, and each pair is verified, so the work grows with the number
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import mix64, slices, spread, unlink, written
+from faultline.llm.common import lean, lean_group, mix64, slices, spread, unlink, written
 
 U = np.uint64
 ROWS = "part int, kind int, ids binary, sizes binary, counts binary, keys binary, facts binary"
@@ -100,8 +101,9 @@ def _by_range(where: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, slice
         yield int(where[start[a]]), slice(start[a], start[a + n - 1] + length[a + n - 1]), start[a : a + n], length[a : a + n].astype(np.uint32)
 
 
-def _spelt(shingles: Callable[[str], np.ndarray], parts: int):
-    """The shingles of a task's classes, by ranges."""
+def _spelt(shingles: Callable[[str], np.ndarray] | None, parts: int, sets_of: Callable[[Iterable[str]], Iterable[np.ndarray]] | None = None):
+    """The shingles of a task's classes, by ranges; ``sets_of`` has those of many texts at once."""
+    every = sets_of or partial(map, shingles)
 
     def flush(names: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
         ids, sizes, key = _read([x[:8] for x in names], U), np.array([len(s) for s in sets], np.uint32), np.concatenate(sets)
@@ -114,11 +116,9 @@ def _spelt(shingles: Callable[[str], np.ndarray], parts: int):
         seen: set[bytes] = set()
         names, sets, held = [], [], 0
         for b in slices(batches):
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if name in seen:
-                    continue
-                seen.add(name)
-                s = shingles(text)
+            new = {name: text for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if name not in seen}
+            seen.update(new)
+            for name, s in zip(new, every(new.values())):
                 if len(s):
                     names.append(name)
                     sets.append(s)
@@ -331,19 +331,19 @@ def _count(contain: float):
     return run
 
 
-def far_links(docs: DataFrame, shingles: Callable[[str], np.ndarray], parts: int, contain: float, ratio: float) -> DataFrame:
+def far_links(docs: DataFrame, sets_of: Callable[[Iterable[str]], Iterable[np.ndarray]], parts: int, contain: float, ratio: float) -> DataFrame:
     """(id, n_contained) of the classes of ``docs`` (class, text) that have links with texts of a size beyond ``ratio``: id is
     the first 8 bytes of the class."""
     homes = HOMES * parts
-    sent = spread(docs).mapInArrow(_spelt(shingles, parts), ROWS)
-    far = written(sent.groupBy("part").applyInArrow(_find(ratio, homes), ROWS), "far", clean=True)
-    asks = written(far.filter(F.col("kind") == ASKED).groupBy("part").applyInArrow(_choose(contain), ROWS), "asks")
+    sent = spread(docs).mapInArrow(lean(_spelt(None, parts, sets_of)), ROWS)
+    far = written(sent.groupBy("part").applyInArrow(lean_group(_find(ratio, homes)), ROWS), "far", clean=True)
+    asks = written(far.filter(F.col("kind") == ASKED).groupBy("part").applyInArrow(lean_group(_choose(contain)), ROWS), "asks")
     both = far.filter(F.col("kind") == HELD).union(asks.filter(F.col("kind") == CHOSEN))
-    met = written(both.groupBy("part").applyInArrow(_meet(ratio, homes), ROWS), "met", clean=True)
+    met = written(both.groupBy("part").applyInArrow(lean_group(_meet(ratio, homes)), ROWS), "met", clean=True)
     unlink(far)
     where = met.filter(F.col("kind") == PAIRS).select("part", "ids").mapInArrow(_askers, "part int, ids binary").distinct()
     sets = asks.filter(F.col("kind") == ASKER).drop("part").join(where, "ids").select(*NAMES)
-    links = met.union(sets).groupBy("part").applyInArrow(_count(contain), "id binary, links long")
+    links = met.union(sets).groupBy("part").applyInArrow(lean_group(_count(contain)), "id binary, links long")
     found = written(links.groupBy("id").agg(F.sum("links").alias("n_contained")), "contained", clean=True)
     unlink(asks, met)
     return found

@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import Memo, hot, join_spread, map_text, mix64, narrow, roots_of, slices, spread, standing_on, text_bytes, unlink, written
+from faultline.llm.common import hot, join_spread, lean, lean_group, map_text, mix64, narrow, roots_of, slices, spread, standing_on, text_bytes, unlink, written
 from faultline.llm.contained import far_links
 from faultline.llm.graph import components
 
@@ -61,22 +61,79 @@ SMALL = 100
 WORD = re.compile(r"\w+")
 U = np.uint64
 _SEEDS = mix64(np.arange(1, VALUES + 1, dtype=np.uint64) * U(0xA0761D6478BD642F))
-_word_hashes = Memo(lambda w: xxhash.xxh3_64_digest(w), 200_000)
+#: Characters of texts that are split together, and of the longest word whose hash is a sum over its characters.
+LOT, LONG = 1 << 16, 64
+_PLACES = mix64(np.arange(1, LONG + 1, dtype=np.uint64) * U(0x9FB21C651E98DF25))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
-    words = WORD.findall((text or "").lower())
-    codes = np.frombuffer(b"".join(map(_word_hashes.__getitem__, words)), dtype=">u8").astype(np.uint64)
-    if len(codes) < WORDS:
-        whole = U(len(codes))
-        for c in codes:
-            whole = mix64(np.array([whole ^ c]))[0]
-        return np.array([whole] if len(codes) else [], np.uint64)
-    joined = codes[: len(codes) - WORDS + 1] * U(0x9E3779B97F4A7C15)
+@cache
+def _characters(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the code points below ``most``: whether ``WORD`` takes them, and a number for those."""
+    word = np.fromiter((chr(i).isalnum() or i == 95 for i in range(most)), bool, most)
+    return word, np.where(word, mix64(np.arange(1, most + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93)), U(0))
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of lower-case texts, and the number of words before each text and behind the last."""
+    joined = "\n".join(texts)
+    if joined.isascii():
+        code, most = np.frombuffer(joined.encode(), np.uint8), 128
+    else:
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        most = 1 << 16 if code.max() < 1 << 16 else 0x110000
+    word, number = _characters(most)
+    inside = np.zeros(len(code) + 2, bool)
+    inside[1:-1] = word[code]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    before = np.searchsorted(start, np.cumsum([0, *[len(t) + 1 for t in texts]]))
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # one long text in stretches
+        to = max(at + 1, int(np.searchsorted(start, start[at] + 2 * LOT)))
+        low, high = start[at], end[to - 1]
+        first = start[at:to] - low
+        place = np.arange(high - low) - np.repeat(first, np.diff(first, append=high - low))
+        out[at:to] = np.add.reduceat(number[code[low:high]] * _PLACES.take(place, mode="clip"), first)
+        at = to
+    for k in np.flatnonzero(end - start > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(joined[start[k] : end[k]].encode("utf-8", "surrogatepass"))
+    return mix64(out), before
+
+
+def _sets(texts: list[str]) -> Iterator[np.ndarray]:
+    codes, before = _words(texts)
+    joined = codes[: max(0, len(codes) - WORDS + 1)] * U(0x9E3779B97F4A7C15)
     for i in range(1, WORDS):
-        joined = mix64(joined) + codes[i : len(codes) - WORDS + 1 + i] * U(0x9E3779B97F4A7C15 + 2 * i)
-    return np.unique(mix64(joined))
+        joined = mix64(joined) + codes[i : len(joined) + i] * U(0x9E3779B97F4A7C15 + 2 * i)
+    joined = mix64(joined)
+    for a, b in zip(before[:-1].tolist(), before[1:].tolist()):
+        if b - a >= WORDS:
+            s = joined[a : b - WORDS + 1]
+            s.sort()
+            yield s[_new(s)]
+        else:
+            whole = U(b - a)
+            for c in codes[a:b]:
+                whole = mix64(np.array([whole ^ c]))[0]
+            yield np.array([whole] if b > a else [], np.uint64)
+
+
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """Of each text, the sorted distinct 64-bit hashes of its shingles; words are split and hashed for many texts at once."""
+    lot, held = [], 0
+    for text in texts:
+        lot.append((text or "").lower())
+        held += len(lot[-1])
+        if held >= LOT:
+            yield from _sets(lot)
+            lot, held = [], 0
+    if lot:
+        yield from _sets(lot)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return next(shingle_sets([text]))
 
 
 def packed(s: np.ndarray) -> bytes:
@@ -252,11 +309,9 @@ def _send(contain: float, ratio: float, parts: int):
         numbers: dict[bytes, int] = {}
         keys, sizes, owners, held = [], [], [], 0
         for b in slices(batches):
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if name in numbers:
-                    continue
+            new = {name: text for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if name not in numbers}
+            for name, s in zip(new, shingle_sets(new.values())):
                 numbers[name] = len(numbers)
-                s = shingles(text)
                 if len(s):
                     keys.append(band_keys(s, contain, ratio))
                     sizes.append(size_code(len(s), ratio))
@@ -559,13 +614,13 @@ def _dealt(members: DataFrame, payload: DataFrame, failed: bool = False) -> Data
 def _compare_blocks(members: DataFrame, sets: DataFrame, contain: float, ratio: float, edges: bool) -> DataFrame:
     """Exactly: the numbers of links of ``members``, or edges."""
     ordered = _dealt(members, sets.select("class", "set", F.octet_length("set").alias("bytes")))
-    return ordered.mapInArrow(_blockwise(contain, ratio, edges), "a binary, b binary" if edges else "class binary, links long")
+    return ordered.mapInArrow(lean(_blockwise(contain, ratio, edges)), "a binary, b binary" if edges else "class binary, links long")
 
 
 def _accompanied(members: DataFrame, sets: DataFrame, contain: float, ratio: float) -> DataFrame:
     """The rows of ``members`` that may be linked with another one, by sketches."""
     ordered = _dealt(members, sets.select("class", "n", "small", "large", F.lit(2 * VALUES).alias("bytes")), failed=True)
-    found = ordered.mapInArrow(_company(contain, ratio), "key long, class binary").distinct()
+    found = ordered.mapInArrow(lean(_company(contain, ratio)), "key long, class binary").distinct()
     return members.join(found, ["key", "class"], "left_semi")
 
 
@@ -577,9 +632,9 @@ def groups(df: DataFrame, contain: float = 0.6, ratio: float = RATIO, with_class
     docs = narrow(df, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("class", F.unhex(F.md5(F.col("text").cast("binary"))))
     parts = max(4, text_bytes(df) // PART)
     classes = docs.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
-    sent = spread(docs.select("class", "text")).mapInArrow(_send(contain, ratio, parts), SENT)
+    sent = spread(docs.select("class", "text")).mapInArrow(lean(_send(contain, ratio, parts)), SENT)
     steps = least_steps(contain, ratio)
-    stars = sent.groupBy("part").applyInArrow(lambda table: _collect(table, steps), STARS)
+    stars = sent.groupBy("part").applyInArrow(lean_group(lambda table: _collect(table, steps)), STARS)
     pairs = written(stars.groupBy("centre", "member").agg(F.flatten(F.collect_list("buckets")).alias("buckets")), "pairs", clean=True)
     # the sets of the classes in any pair; one document of each, with all its copies spread by doc_id
     wanted = pairs.select(F.col("member").alias("class")).union(pairs.select(F.col("centre").alias("class"))).distinct()
@@ -589,7 +644,7 @@ def groups(df: DataFrame, contain: float = 0.6, ratio: float = RATIO, with_class
     texts = docs.select("class", known_id("doc_id"), "text").join(first.hint("shuffle_hash"), ["class", "id"], "left_semi").dropDuplicates(["class", "id"])
 
     def to_set(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t) for t in b.column(1).to_pylist()]
+        found = list(shingle_sets(b.column(1).to_pylist()))
         small, large = zip(*[sketches(s, ratio) for s in found])
         columns = [b.column(0), pa.array([packed(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()), pa.array(small, pa.binary()), pa.array(large, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["class", "set", "n", "small", "large"])
@@ -603,8 +658,8 @@ def groups(df: DataFrame, contain: float = 0.6, ratio: float = RATIO, with_class
         both = join_spread(of.join(ends[1], "member"), ends[0], "centre", hot(degrees, "centre"), "member")
         return both.select("centre", "member", *[f"{end}_{c}" for end in ("centre", "member") for c in columns])
 
-    compared = written(with_both(pairs.select("centre", "member"), "n", "small", "large").mapInArrow(_similar(contain, ratio), "centre binary, member binary, near boolean"), "compared")
-    exact = with_both(compared.filter("near").select("centre", "member"), "set").mapInArrow(_contained(contain, ratio), "centre binary, member binary, linked boolean")
+    compared = written(with_both(pairs.select("centre", "member"), "n", "small", "large").mapInArrow(lean(_similar(contain, ratio)), "centre binary, member binary, near boolean"), "compared")
+    exact = with_both(compared.filter("near").select("centre", "member"), "set").mapInArrow(lean(_contained(contain, ratio)), "centre binary, member binary, linked boolean")
     checked = written(exact.union(compared.filter("NOT near").select("centre", "member", F.lit(False))), "checked", clean=True)
     failed = _unsettled(pairs, checked)
     unlink(pairs, compared)
@@ -619,7 +674,7 @@ def groups(df: DataFrame, contain: float = 0.6, ratio: float = RATIO, with_class
     held = roots.select(F.col("root").alias("key"), F.col("node").alias("class"), F.lit(True).alias("failed"))
     links = _compare_blocks(held, sets, contain, ratio, False).groupBy("class").agg(F.sum("links").alias("n_links"))
     known = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").join(links, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    beyond = [far_links(docs.select("class", "text"), shingles, parts, contain, ratio)] if far else []
+    beyond = [far_links(docs.select("class", "text"), shingle_sets, parts, contain, ratio)] if far else []
     for counts in beyond:
         known = known.join(counts.withColumnRenamed("id", "start"), F.substring("class", 1, 8) == F.col("start"), "left").drop("start")
     known = written(known, "known", clean=True)
