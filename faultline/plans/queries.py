@@ -314,7 +314,7 @@ def coupling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_coupled(SUPPLIER)} SELECT {_PAIR} FROM pairs WHERE co_commit_count >= 3 AND jaccard >= 0.02 ORDER BY pairs.jaccard DESC, file_a, file_b LIMIT 50")
 def coupling_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, _ = coupling.analyze(bridge.history(spark, sf_dir, "supplier"), Coupling(min_jaccard_threshold=0.02))
+    pairs, _ = coupling.analyze(bridge.history(spark, sf_dir, "supplier", by_commit=True), Coupling(min_jaccard_threshold=0.02))
     return rounded(coupling.top(pairs, 50))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Order dates end the day before.
 UNTIL = "2001-08-02"
 PATTERNS = (r"\burgent\b", r"\bhigh\b")
+#: Bytes of line items behind a partition of commits.
+PART = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +51,19 @@ def changes(spark: SparkSession, sf_dir: str, path: str = "part") -> DataFrame:
     )
 
 
-def history(spark: SparkSession, sf_dir: str, path: str = "part") -> DataFrame:
-    return changes(spark, sf_dir, path).join(commits(spark, sf_dir), "sha")
+def history(spark: SparkSession, sf_dir: str, path: str = "part", by_commit: bool = False) -> DataFrame:
+    """``by_commit``: in partitions by commit whose number grows with the input, for what looks at whole commits; a
+    task's memory then doesn't depend on the session's number of partitions, nor on how those are merged."""
+    rows = changes(spark, sf_dir, path)
+    if by_commit:
+        rows = rows.repartition(parts(read(spark, sf_dir, "lineitem")), "sha")
+    return rows.join(commits(spark, sf_dir), "sha")
+
+
+def parts(table: DataFrame) -> int:
+    """By the bytes of the table's files; at least one for each core."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-size // PART))
 
 
 def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,17 @@ def test_coupling_random(spark):
     assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got) and stats.first()[:] == totals
 
 
+def test_coupling_sorts_commits_once(spark):
+    """Without joins or sets over the history; a huge commit, repeated paths and null ones count as before."""
+    rows = [row(0, "huge", f"p{i}", pos=i) for i in range(400)] + [row(1, "s", p, pos=i) for i, p in enumerate(["b", "A", "a", None, None])] + [row(2, "t", "a"), row(2, "t", "c", pos=1), row(2, "t", "x", pos=2), row(3, "alone", "a")]
+    found = coupling.eligible(hist(spark, rows), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert sorted((r.sha, r.file or "", r.later) for r in found.collect()) == [("s", "", ["a", "b"]), ("s", "a", ["b"]), ("s", "b", []), ("t", "a", ["c", "x"]), ("t", "c", ["x"]), ("t", "x", [])]
+    pairs, stats = coupling.analyze(hist(spark, rows), Coupling(min_co_commits=1, min_jaccard_threshold=0.0, max_files_per_commit=3))
+    assert {(r.file_a, r.file_b, r.file_a_commit_count) for r in pairs.collect()} == {("a", "b", 2), ("a", "c", 2), ("a", "x", 2), ("c", "x", 1)} and stats.first()[:] == (2, 4, 4)
+
+
 def test_diff_is_union_of_new_and_old_paths(spark):
     items = spark.createDataFrame([("a", 0.1), ("b", 0.2), ("c", 0.3)], "path string, risk_score double")
     diff = spark.createDataFrame([("a", None), ("x", "c"), ("a", "")], "path string, old_path string")

@@ -55,6 +55,19 @@ def test_calibrate_is_the_descent_by_brute_force(spark, monkeypatch):
     assert all(calibration.detection_rate(kept, w).first()[0] == pytest.approx(rate(w)) for w in (weights, current.as_list()))
 
 
+@pytest.mark.parametrize("name", ["coupling_top"])
+def test_partitions_of_commits_grow_with_the_input(spark, monkeypatch, name):
+    import os
+
+    from faultline.sources import bridge
+
+    part = os.path.getsize(f"{SF}/lineitem.parquet") // 37
+    monkeypatch.setattr(bridge, "PART", part)
+    n = -(-os.path.getsize(f"{SF}/lineitem.parquet") // part)
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [sha#" in plan and f", {n}" in plan
+
+
 def test_entry_has_every_query(spark):
     import __spark_entry__ as e
 
