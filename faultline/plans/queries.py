@@ -304,7 +304,7 @@ _PAIR = "file_a, file_b, co_commit_count, file_a_commit_count, file_b_commit_cou
 
 @query(f"WITH {_coupled('p.p_brand')} SELECT {_PAIR} FROM pairs WHERE co_commit_count >= 3 AND jaccard >= 0.05")
 def coupling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(coupling.analyze(bridge.history(spark, sf_dir, "brand"), Coupling(min_jaccard_threshold=0.05))[0])
+    return rounded(coupling.analyze(bridge.history(spark, sf_dir, "brand", by_commit=True), Coupling(min_jaccard_threshold=0.05))[0])
 
 
 @query(f"WITH {_coupled('p.p_brand')} SELECT (SELECT total FROM t) AS total_commits, (SELECT count(*) FROM n) AS total_files, (SELECT count(*) FROM p) AS total_pairs")
