@@ -309,7 +309,7 @@ def coupling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_coupled('p.p_brand')} SELECT (SELECT total FROM t) AS total_commits, (SELECT count(*) FROM n) AS total_files, (SELECT count(*) FROM p) AS total_pairs")
 def coupling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coupling.analyze(bridge.history(spark, sf_dir, "brand"), Coupling())[1]
+    return coupling.analyze(bridge.history(spark, sf_dir, "brand", by_commit=True), Coupling())[1]
 
 
 @query(f"WITH {_coupled(SUPPLIER)} SELECT {_PAIR} FROM pairs WHERE co_commit_count >= 3 AND jaccard >= 0.02 ORDER BY pairs.jaccard DESC, file_a, file_b LIMIT 50")

@@ -55,7 +55,7 @@ def test_calibrate_is_the_descent_by_brute_force(spark, monkeypatch):
     assert all(calibration.detection_rate(kept, w).first()[0] == pytest.approx(rate(w)) for w in (weights, current.as_list()))
 
 
-@pytest.mark.parametrize("name", ["coupling_top", "coupling_pairs"])
+@pytest.mark.parametrize("name", ["coupling_top", "coupling_pairs", "coupling_stats"])
 def test_partitions_of_commits_grow_with_the_input(spark, monkeypatch, name):
     import os
 
