@@ -19,16 +19,17 @@ def canonical(history: DataFrame, aliases: DataFrame | None) -> DataFrame:
 
 
 def by_author(history: DataFrame, found=()) -> DataFrame:
-    """One row a path and contributor: the level below file metrics, which also gives ownership."""
+    """One row a path and contributor: the level below file metrics, which also gives ownership. ``last_iso`` is there if
+    the history has ``when_iso``: an aggregate of strings sorts all rows, one of numbers doesn't."""
     rows = filters.live(history)
     fix = F.when(filters.is_bugfix(found), 1).otherwise(0)
-    iso = F.max_by("when_iso", "when") if "when_iso" in history.columns else F.max(F.lit(None).cast("string"))
+    iso = [F.max_by("when_iso", "when").alias("last_iso")] if "when_iso" in history.columns else []
     return rows.groupBy("path", F.lower("author_email").alias("author")).agg(
         F.count("*").alias("n"),
         F.sum("lines_added").alias("added"),
         F.sum("lines_deleted").alias("deleted"),
         F.max("when").alias("last"),
-        iso.alias("last_iso"),
+        *iso,
         F.sum(fix).alias("fixes"),
     )
 
@@ -50,16 +51,20 @@ def burst(history: DataFrame, days: int = 7) -> DataFrame:
 def metrics(history: DataFrame, found=(), window_days: int = 7, aliases: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """All file metrics. ``history`` has changes with their commits' columns; ``sizes`` is (path, line_count)."""
     rows = canonical(history, aliases)
-    files = by_author(rows, found).groupBy("path").agg(
+    people = by_author(rows, found)
+    dated = "last_iso" in people.columns
+    files = people.groupBy("path").agg(
         F.sum("n").alias("commit_count"),
         F.sum("added").alias("added_lines"),
         F.sum("deleted").alias("deleted_lines"),
         F.max("last").alias("last_modified"),
-        F.max_by("last_iso", "last").alias("last_modified_iso"),
+        *[F.max_by("last_iso", "last").alias("last_modified_iso")] * dated,
         F.count("*").alias("contributor_count"),
         (F.max("n") / F.sum("n")).alias("ownership_ratio"),
         F.sum("fixes").alias("bugfix_count"),
     )
+    if not dated:
+        files = files.withColumn("last_modified_iso", F.lit(None).cast("string"))
     out = files.join(burst(rows, window_days), "path")
     if sizes is None:
         return out.withColumn("file_size", F.lit(0).cast("long"))

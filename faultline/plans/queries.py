@@ -90,8 +90,13 @@ def changes_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("sha", "path", F.col("when").alias("at"), F.lower("author_email").alias("author"), "message", "kind", F.col("lines_added").alias("added"), F.col("lines_deleted").alias("deleted"))
 
 
+def _timed(spark: SparkSession, sf_dir: str, path: str = "part") -> DataFrame:
+    """Without the ISO form of times, which no query shows."""
+    return bridge.history(spark, sf_dir, path).drop("when_iso")
+
+
 def _hotspots(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
-    return reports.hotspots(bridge.history(spark, sf_dir), CONFIG, bridge.UNTIL, **more)
+    return reports.hotspots(_timed(spark, sf_dir), CONFIG, bridge.UNTIL, **more)
 
 
 @query(f"{BASE}, {_scored()} SELECT path, commit_count, contributor_count, bugfix_count, round(burst_score, 6) AS burst_score, round(risk_score, 6) AS risk_score FROM scored ORDER BY scored.risk_score DESC, path")
@@ -188,7 +193,7 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BASE} SELECT {FILE_COLUMNS} FROM files")
 def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_until(files.metrics(bridge.history(spark, sf_dir), bridge.PATTERNS)).drop("file_size"))
+    return rounded(_until(files.metrics(_timed(spark, sf_dir), bridge.PATTERNS)).drop("file_size"))
 
 
 @query(f"WITH {_history()}, {_files()} SELECT path, contributor_count, round(ownership_ratio, 6) AS ownership_ratio FROM own")
@@ -223,7 +228,7 @@ def bugfix_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{BASE} SELECT min(commit_count) AS commit_min, max(commit_count) AS commit_max, min(added_lines + deleted_lines) AS churn_min, max(added_lines + deleted_lines) AS churn_max,
 min(bugfix_count) AS bugfix_min, max(bugfix_count) AS bugfix_max, CAST(0 AS BIGINT) AS size_min, CAST(0 AS BIGINT) AS size_max FROM files""")
 def file_norm_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.file_context(files.metrics(bridge.history(spark, sf_dir), bridge.PATTERNS))
+    return scoring.file_context(files.metrics(_timed(spark, sf_dir), bridge.PATTERNS))
 
 
 @query(f"WITH {_history()} SELECT path, count(*) AS n FROM h WHERE \"when\" >= TIMESTAMP '1997-01-01' AND \"when\" <= TIMESTAMP '1997-12-31' GROUP BY path")
@@ -335,7 +340,7 @@ _RENAMED = _CANONICAL.replace("k +", "l.l_suppkey +").replace("k %", "l.l_suppke
 @query(f"WITH {_history(_RENAMED)}, {_files()} SELECT {FILE_COLUMNS} FROM files")
 def rename_file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.aliases(bridge.rename_edges(spark, sf_dir))
-    return rounded(_until(files.metrics(bridge.history(spark, sf_dir, "supplier"), bridge.PATTERNS, aliases=found)).drop("file_size"))
+    return rounded(_until(files.metrics(_timed(spark, sf_dir, "supplier"), bridge.PATTERNS, aliases=found)).drop("file_size"))
 
 
 _FEATURES = f"""{BASE}, {_scored()}, features AS (SELECT path, p_commit / 0.2e0 AS f1, p_churn / 0.2e0 AS f2, p_recency / 0.15e0 AS f3, burst_score AS f4, 1e0 - ownership_ratio AS f5, p_bugfix / 0.15e0 AS f6, bugfix_count > 0 AS is_bugfix FROM scored)"""

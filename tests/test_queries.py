@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.plans.queries import ORACLES, QUERIES
 from tests.oracle import SF, both
@@ -68,6 +69,12 @@ def test_partitions_of_commits_grow_with_the_input(spark, monkeypatch, name):
     assert "RepartitionByExpression [sha#" in plan and f", {n}" in plan
 
 
+@pytest.mark.parametrize("name", ["file_hotspots"])
+def test_no_rows_are_sorted_to_be_aggregated(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "max_by" not in plan
+
+
 def test_entry_has_every_query(spark):
     import __spark_entry__ as e
 
