@@ -348,20 +348,20 @@ _FEATURES = f"""{BASE}, {_scored()}, features AS (SELECT path, p_commit / 0.2e0
 
 @query(f"{_FEATURES} SELECT path, round(f1, 6) AS f_commit, round(f2, 6) AS f_churn, round(f3, 6) AS f_recency, round(f4, 6) AS f_burst, round(f5, 6) AS f_ownership, round(f6, 6) AS f_bugfix, 0e0 AS f_complexity, is_bugfix FROM features")
 def calibration_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calibration.features(files.metrics(bridge.history(spark, sf_dir), bridge.PATTERNS), 30, bridge.UNTIL)
+    rows = calibration.features(files.metrics(_timed(spark, sf_dir), bridge.PATTERNS), 30, bridge.UNTIL)
     return rounded(rows.select("path", *[F.col("features")[i].alias(f"f_{p}") for i, p in enumerate(scoring.FILE_PARTS)], "is_bugfix"))
 
 
 @query(f"""{_FEATURES}, r AS (SELECT is_bugfix, row_number() OVER (ORDER BY round(0.3e0 * f1 + 0.3e0 * f2 + 0.2e0 * f4 + 0.2e0 * f5, 9) DESC, path) AS place, count(*) OVER () AS n FROM features)
 SELECT round(count(*) FILTER (WHERE is_bugfix AND place <= ceil(n * 20 / 100e0)) / CAST(count(*) FILTER (WHERE is_bugfix) AS DOUBLE), 6) AS rate FROM r""")
 def detection_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calibration.features(files.metrics(bridge.history(spark, sf_dir), bridge.PATTERNS), 30, bridge.UNTIL)
+    rows = calibration.features(files.metrics(_timed(spark, sf_dir), bridge.PATTERNS), 30, bridge.UNTIL)
     return rounded(calibration.detection_rate(rows, [0.3, 0.3, 0, 0.2, 0.2, 0, 0]))
 
 
 @query()
 def calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sequential search, which SQL doesn't express."""
-    r = reports.calibrated(bridge.history(spark, sf_dir), CONFIG, bridge.UNTIL)
+    r = reports.calibrated(_timed(spark, sf_dir), CONFIG, bridge.UNTIL)
     row = (r.total_files, r.bugfix_files, float(r.current_rate), float(r.recommended_rate), *[float(x) for x in astuple(r.recommended_weights)])
     return spark.createDataFrame([row], "total_files long, bugfix_files long, current_rate double, recommended_rate double, " + ", ".join(f"w_{p} double" for p in scoring.FILE_PARTS))

@@ -69,7 +69,7 @@ def test_partitions_of_commits_grow_with_the_input(spark, monkeypatch, name):
     assert "RepartitionByExpression [sha#" in plan and f", {n}" in plan
 
 
-@pytest.mark.parametrize("name", ["file_hotspots"])
+@pytest.mark.parametrize("name", ["file_hotspots", "calibration_features"])
 def test_no_rows_are_sorted_to_be_aggregated(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "max_by" not in plan
