@@ -28,7 +28,9 @@ def calibrated(history: DataFrame, config: Config, until: str, aliases: DataFram
     """None without any bug-fix commit. File sizes are not measured here."""
     if not any(p.strip() for p in config.bugfix.patterns):
         raise ValueError("no bug-fix patterns are configured")
-    if not files.bugfix_totals(history, config.bugfix.patterns).first()[0]:
-        return None
     metrics = files.metrics(history, config.bugfix.patterns, config.burst.window_days, aliases)
-    return calibration.calibrate(metrics, config.scoring.weights, config.scoring.half_life_days, until, top_percent)
+    found = calibration.calibrate(metrics, config.scoring.weights, config.scoring.half_life_days, until, top_percent)
+    # a file with a bug fix shows that there is a commit; only deletions may be in others
+    if not found.bugfix_files and not files.bugfix_totals(history, config.bugfix.patterns).first()[0]:
+        return None
+    return found

@@ -75,6 +75,20 @@ def test_no_rows_are_sorted_to_be_aggregated(spark, name):
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "max_by" not in plan
 
 
+def test_calibrate_counts_commits_only_without_fixed_files(spark, monkeypatch):
+    from faultline.operators import files
+    from faultline.plans import queries, reports
+    from faultline.sources import bridge
+
+    h = bridge.history(spark, SF)
+    gone = h.withColumn("message", F.when(h.kind == "deleted", "urgent").otherwise("plain"))
+    found = reports.calibrated(gone, queries.CONFIG, bridge.UNTIL)
+    assert (found.bugfix_files, found.current_rate) == (0, 0.0) and found.total_files > 0
+    assert reports.calibrated(h.withColumn("message", F.lit("plain")), queries.CONFIG, bridge.UNTIL) is None
+    monkeypatch.setattr(files, "bugfix_totals", None)
+    assert reports.calibrated(h, queries.CONFIG, bridge.UNTIL).bugfix_files > 0
+
+
 def test_entry_has_every_query(spark):
     import __spark_entry__ as e
 
