@@ -57,7 +57,8 @@ def _slashed(path: Column) -> Column:
 
 def directory(path: Column) -> Column:
     """Before the last slash; empty without one, and for a slash at the start only."""
-    return F.regexp_extract(_slashed(path), r"(?s)^(.+)/[^/]*$", 1)
+    p = _slashed(path)
+    return F.substr(p, F.lit(1), F.length(p) - F.length(F.substring_index(p, "/", -1)) - 1)
 
 
 def subsystem(path: Column) -> Column:

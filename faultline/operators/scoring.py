@@ -77,7 +77,8 @@ def score_commits(commits: DataFrame, scoring: CommitScoring, explain: bool = Fa
     score = scalars.clamp(parts["diffusion"] + parts["size"] + parts["entropy"])
     level = scalars.risk_level(F.col("risk_score"), scoring.thresholds.high, scoring.thresholds.medium)
     breakdown = [F.struct(*[p.alias(k) for k, p in parts.items()]).alias("breakdown")] if explain else []
-    return rows.select(*commits.columns, score.alias("risk_score"), *breakdown).withColumn("risk_level", level)
+    # behind a generator, so that a filter by level isn't pushed to the join and the score computed again for each mention
+    return rows.select(*commits.columns, F.explode(F.array(score)).alias("risk_score"), *breakdown).withColumn("risk_level", level)
 
 
 def ranked(items: DataFrame, score: str, *ties: str, top: int = 0) -> DataFrame:

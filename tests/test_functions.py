@@ -106,3 +106,11 @@ def test_config(tmp_path, monkeypatch):
     assert (c.scoring.half_life_days, c.scoring.weights.churn, c.scoring.weights.commit, c.bugfix.patterns, c.filters.exclude) == (10, 0.5, 0.2, ("x",), ("v/**",))
     config.save(c, config.FILE_NAME)
     assert config.load() == c
+
+
+def test_directory_equals_the_pattern(spark):
+    paths = ["", "/", "x", "/x", "//x", "a/", "a//", "a/b", "/a/b/c", "a\\b\\c", "é/ü/x", "a/b\n", "a\n/b", "\n/x", None]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    pattern = F.regexp_extract(F.replace("path", F.lit("\\"), F.lit("/")), r"(?s)^(.+)/[^/]*$", 1)
+    assert all(r[0] == r[1] for r in df.select(scalars.directory(F.col("path")), pattern).collect())
+    assert "regexp" not in df.select(scalars.directory(F.col("path")))._jdf.queryExecution().optimizedPlan().toString()

@@ -89,6 +89,11 @@ def test_calibrate_counts_commits_only_without_fixed_files(spark, monkeypatch):
     assert reports.calibrated(h, queries.CONFIG, bridge.UNTIL).bugfix_files > 0
 
 
+def test_commits_are_scored_once(spark):
+    plan = QUERIES["commit_risk_medium"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join Cross" in x and "CASE" in x]
+
+
 def test_entry_has_every_query(spark):
     import __spark_entry__ as e
 
