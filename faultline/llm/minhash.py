@@ -50,6 +50,8 @@ WORDS, VALUES = 3, 168
 #: The share of linked pairs at a partition's least similarity that its banding may miss.
 MISS = 0.03
 BLOCK, BLOCK_BYTES = 2048, 4 << 20
+#: Pairs of sketches that are compared at a time.
+PAIRS = 10_000
 #: Keys that a task holds, and the bytes of text behind a range of keys.
 HELD, PART = 1_000_000, 40 << 20
 #: Deviations by which the equal values of two sketches may fall short.
@@ -396,6 +398,11 @@ def _kinds(n: np.ndarray, small: list, large: list, ratio: float) -> tuple[np.nd
     return both[0], both[1], n < math.ceil(ratio ** -(partition_of(SMALL, ratio) + 1) - 1e-9)
 
 
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The equal values of each row of two matrices of sketches, summed as bytes: there are fewer than 256."""
+    return np.add.reduce((a == b).view(np.uint8), axis=1, dtype=np.uint8)
+
+
 def least_equal(contain: float, ratio: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The equal values that sketches of linked sets of so many shingles have at least; more than there are if sets of
     these sizes aren't linked."""
@@ -413,7 +420,7 @@ def _similar(contain: float, ratio: float):
         for b in batches:
             n = [b.column(i).to_numpy() for i in (2, 5)]
             (s0, l0, k0), (s1, l1, k1) = (_kinds(n[i], b.column(3 + 3 * i).to_pylist(), b.column(4 + 3 * i).to_pylist(), ratio) for i in (0, 1))
-            equal = np.where(k0 & k1, (s0 == s1).sum(axis=1), (l0 == l1).sum(axis=1))
+            equal = np.where(k0 & k1, _equal(s0, s1), _equal(l0, l1))
             near = equal >= least_equal(contain, ratio, np.minimum(*n), np.maximum(*n))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], ["centre", "member", "near"])
 
@@ -531,7 +538,8 @@ def _places(rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _company(contain: float, ratio: float):
     """(key, class) of the rows with class, failed, n, small, large that by their sketches may be linked with another one,
-    if one of the two failed. Pairs are looked at some 100,000 at a time, of however many groups."""
+    if one of the two failed. Pairs are looked at PAIRS at a time, of however many groups, but for those of which both are
+    known to have one."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         keys, held, pairs, many = [], [[] for _ in range(5)], [], 0
@@ -543,11 +551,13 @@ def _company(contain: float, ratio: float):
             i, j = (np.concatenate(x) for x in zip(*pairs))
             one = np.array(failed)
             some = np.flatnonzero((one[i] | one[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]) - 1e-9))
-            for at in range(0, len(some), 100_000):
-                x, y = i[some[at : at + 100_000]], j[some[at : at + 100_000]]
+            for at in range(0, len(some), PAIRS):
+                x, y = i[some[at : at + PAIRS]], j[some[at : at + PAIRS]]
+                open_ = ~(near[x] & near[y])  # two that have company tell nothing new
+                x, y = x[open_], y[open_]
                 equal, both = np.empty(len(x), np.int64), k[x] & k[y]
                 for kind, of in ((s, both), (l, ~both)):
-                    equal[of] = np.count_nonzero(kind[x[of]] == kind[y[of]], axis=1)
+                    equal[of] = _equal(kind[x[of]], kind[y[of]])
                 ok = equal >= least_equal(contain, ratio, np.minimum(n[x], n[y]), np.maximum(n[x], n[y]))
                 near[x[ok]] = near[y[ok]] = True
             at = np.flatnonzero(near).tolist()

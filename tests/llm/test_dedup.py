@@ -354,3 +354,28 @@ def test_suffix_sort():
     for x, y, e in zip(a, b, ext):
         n = next((k for k in range(40) if raw[x + k] != raw[y + k]), 40)
         assert e == n
+
+
+def test_company_looks_at_no_pair_that_tells_nothing(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from faultline.llm import minhash
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (3, minhash.VALUES), dtype=np.uint8)
+    n, classes = 600, [i.to_bytes(16, "big") for i in range(600)]
+    rows = [base[i % 3] if i % 10 else rng.integers(0, 256, minhash.VALUES, dtype=np.uint8) for i in range(n)]  # each tenth is alone
+    failed = [i % 4 != 1 for i in range(n)]
+    columns = [[7] * n, [0] * n, [0] * n, [0] * n, classes, failed, [50] * n, [r.tobytes() for r in rows], [None] * n]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [str(i) for i in range(9)])
+    looked = []
+    least = minhash.least_equal
+    monkeypatch.setattr(minhash, "least_equal", lambda c, r, low, high: looked.append(len(low)) or least(c, r, low, high))
+    got = {c for b in minhash._company(0.6, minhash.RATIO)(iter([batch])) for c in b.column(1).to_pylist()}
+    assert got == {classes[i] for i in range(n) if i % 10}
+    assert sum(looked) < n * (n - 1) // 2 // 2
+    assert minhash.VALUES < 256 and minhash._equal(base, base).tolist() == [minhash.VALUES] * 3
+    other = rng.integers(0, 3, (2, 50, minhash.VALUES), dtype=np.uint8)
+    assert minhash._equal(*other).tolist() == (other[0] == other[1]).sum(axis=1).tolist()
